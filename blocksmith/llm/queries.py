@@ -4,16 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .idfiles import write_id_files
 from .minhash import near_duplicates
+from .packing import pack_documents
+from .suffixes import remove_repeats
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op3_idfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return write_id_files(_read(spark, sf_dir, "documents"), end=0).digests()
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), k=3, percent=85)
 
 
-QUERIES = {"op7_minhash": op7_minhash}
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_read(spark, sf_dir, "documents"), capacity=2048, end=1)
+
+
+def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_read(spark, sf_dir, "documents"), length=200).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+QUERIES = {"op3_idfiles": op3_idfiles, "op7_minhash": op7_minhash, "op9_packing": op9_packing, "op10_suffixes": op10_suffixes}
 ORACLE: dict[str, str] = {}
