@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontam import benchmark_hits
 from .idfiles import write_id_files
 from .minhash import near_duplicates
 from .packing import pack_documents
+from .shards import balanced_shards
 from .suffixes import remove_repeats
 
 
@@ -18,6 +20,14 @@ def op3_idfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_id_files(_read(spark, sf_dir, "documents"), end=0).digests()
 
 
+def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_hits(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balanced_shards(_read(spark, sf_dir, "documents"), shards=16)
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), k=3, percent=85)
 
@@ -30,5 +40,28 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_read(spark, sf_dir, "documents"), length=200).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-QUERIES = {"op3_idfiles": op3_idfiles, "op7_minhash": op7_minhash, "op9_packing": op9_packing, "op10_suffixes": op10_suffixes}
-ORACLE: dict[str, str] = {}
+QUERIES = {
+    "op3_idfiles": op3_idfiles,
+    "op4_decontam": op4_decontam,
+    "op6_shards": op6_shards,
+    "op7_minhash": op7_minhash,
+    "op9_packing": op9_packing,
+    "op10_suffixes": op10_suffixes,
+}
+ORACLE: dict[str, str] = {
+    "op4_decontam": r"""
+WITH w AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS ws FROM documents),
+i AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+g AS (SELECT item_id, ws, least(8, len(ws)) AS n FROM i WHERE len(ws) > 0),
+win AS (SELECT DISTINCT item_id, n, ws[p:p + n - 1] AS win FROM (SELECT item_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS p FROM g)),
+sizes AS (SELECT DISTINCT n FROM win),
+d AS (SELECT doc_id, n, p, ws[p:p + n - 1] AS win FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS p FROM w, sizes)),
+h AS (SELECT d.doc_id, d.n, d.p, win.item_id FROM d JOIN win ON d.win = win.win),
+c AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
+FROM w LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
+""",
+}
