@@ -8,6 +8,7 @@ from .decontam import benchmark_hits
 from .idfiles import write_id_files
 from .minhash import near_duplicates
 from .packing import pack_documents
+from .quality import quality_verdicts
 from .shards import balanced_shards
 from .suffixes import remove_repeats
 
@@ -24,6 +25,10 @@ def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_hits(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(_read(spark, sf_dir, "documents")).drop("distance")
+
+
 def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balanced_shards(_read(spark, sf_dir, "documents"), shards=16)
 
@@ -43,6 +48,7 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_idfiles": op3_idfiles,
     "op4_decontam": op4_decontam,
+    "op5_quality": op5_quality,
     "op6_shards": op6_shards,
     "op7_minhash": op7_minhash,
     "op9_packing": op9_packing,
