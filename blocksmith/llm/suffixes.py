@@ -8,13 +8,15 @@ at growing offsets, and a position is dropped as soon as its rank is unique:
 1. anchors are sorted by (rank of the 64-byte prefix, rank of the whole context that
    the strings of that anchor cover); prefixes that occur once are dropped, contexts
    that occur twice or more settle all of their strings;
-2. for the rest, the ragged ends of repeats, each start position is ranked by its
-   whole string of ``length`` bytes.
+2. the rest, the ragged ends of repeats, is cut into runs of eight start positions,
+   at the same distances from the anchor everywhere, and sorted by (rank of the bytes
+   that all eight strings share, rank of all their bytes), with the same outcome;
+3. what is left is ranked position by position, by the whole string.
 
 Sorting is by range, so that a prefix which a third of all texts share is dealt over
-many tasks; what a task can't tell of its first and last rank goes on to step 2,
-which is exact for every string by itself. Ranks are 64-bit hashes and are always
-compared in pairs, as (prefix, context) or (prefix, string).
+many tasks; what a task can't tell of its first and last rank goes on to the next step, and the
+last is exact for every string by itself. Ranks are 64-bit hashes and are always
+compared in pairs.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ from .textarrays import BYTE, U64, flat, mix, powers, slices
 PREFIX = 64
 #: Start positions of one document that are handled at once.
 SEGMENT = 1 << 20
+#: Start positions in a run of step 2.
+RUN = 8
 #: Low bits of a packed minimum that hold the position.
 _PLACE = 24
 
@@ -143,45 +147,93 @@ def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from emit(pa.Table.from_batches(held).combine_chunks(), True).to_batches()
 
 
+def _contexts(length: int):
+    """Rows (id, text, runs) to one row for each run with the bytes that its strings cover."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                rows = []
+                for i in range(at, min(at + 256, len(batch))):
+                    doc, text = batch.column(0)[i].as_py(), batch.column(1)[i].as_buffer()
+                    runs = batch.column(2)[i].values
+                    rows += [(doc, lo + d, lo, n, bytes(memoryview(text)[lo : lo + n + length])) for lo, n, d in zip(*(runs.field(j).to_pylist() for j in range(3)))]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+                yield pa.record_batch([pa.array(x, t) for x, t in zip(list(zip(*rows)) or [()] * 5, kinds)], ["id", "anchor", "lo", "n", "bytes"])
+
+    return run
+
+
+def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers repeated by their counts, and 0, 1, ... within each row."""
+    row = np.repeat(np.arange(len(counts)), counts)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _run_rows(length: int):
+    """Rows (id, anchor, lo, n, bytes) to runs at fixed distances from the anchor, ranked by their shared and by all bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), 8192):
+                batch = whole.slice(at, 8192)
+                doc, anchor, lo, n = (np.asarray(batch.column(i)).astype(np.int64) for i in range(4))
+                data, offsets = flat(batch.column(4))
+                sums = _sums(data)
+                far, near = anchor - lo, anchor - lo - n
+                row, step = _spread(far // RUN - near // RUN + 1)
+                s = near[row] // RUN + step
+                most, least = np.minimum(RUN * s + RUN - 1, far[row]), np.maximum(RUN * s, near[row])
+                zero = offsets[row] + far[row]  # of the anchor in data
+                shared = mix(_hash(sums, zero - RUN * s, zero - RUN * s - RUN + 1 + length) + s.astype(np.uint64))
+                full = most - least == RUN - 1
+                all_ = mix((doc[row] * 31 + anchor[row] * 17 + s).astype(np.uint64))
+                all_[full] = _hash(sums, (zero - most)[full], (zero - least + length)[full])
+                yield pa.record_batch(
+                    [pa.array(shared.view(np.int64)), pa.array(all_.view(np.int64)), pa.array(doc[row]), pa.array(anchor[row] - most), pa.array((most - least).astype(np.int32)), pa.array(most.astype(np.int32))],
+                    ["prefix", "context", "id", "lo", "n", "d"],
+                )
+
+    return run
+
+
 def _string_rows(length: int):
-    """Rows (id, text, runs) to probes (prefix, string, id, at), one for each string in the runs.
+    """Rows (id, lo, n, d, first, bytes) to probes (prefix, string, id, at), one for each string of the run; ``first`` is where bytes start.
 
-    A string that the task has met twice is settled: its places are marked in ``span``
-    rows and one probe without a place tells the other tasks.
+    A string that the task has met twice is settled: its places are marked ``again``
+    and one probe tells the other tasks.
     """
 
-    def flush(parts: list) -> Iterator[pa.RecordBatch]:
-        prefix, string, at, doc = (np.concatenate(x) for x in zip(*parts))
+    def flush(parts: list) -> pa.RecordBatch:
+        prefix, string, doc, at = (np.concatenate(x) for x in zip(*parts))
         order = np.lexsort((string, prefix))
         prefix, string, at, doc = prefix[order], string[order], at[order], doc[order]
         new = np.append(True, (prefix[1:] != prefix[:-1]) | (string[1:] != string[:-1]))
-        copies = np.bincount(group := np.cumsum(new) - 1)[group]
-        again = copies > 1
-        probe = new
-        keep = probe | again
-        yield pa.record_batch(
-            [pa.array(prefix[keep].view(np.int64)), pa.array(string[keep].view(np.int64)), pa.array(doc[keep]), pa.array(at[keep]), pa.array(again[keep]), pa.array(probe[keep])],
+        again = np.bincount(group := np.cumsum(new) - 1)[group] > 1
+        keep = new | again
+        return pa.record_batch(
+            [pa.array(prefix[keep].view(np.int64)), pa.array(string[keep].view(np.int64)), pa.array(doc[keep]), pa.array(at[keep]), pa.array(again[keep]), pa.array(new[keep])],
             ["prefix", "string", "id", "at", "again", "probe"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for i in range(len(batch)):
-                data = np.frombuffer(batch.column(1)[i].as_buffer(), np.uint8)
-                runs = batch.column(2)[i].as_py()
-                for lo, n, d in sorted((x["lo"], x["n"], x["d"]) for x in runs):
-                    sums = _sums(data[lo : lo + n + length])
-                    starts = np.arange(n + 1)
-                    prefix = np.repeat(_hash(sums, np.array([d]), np.array([d + PREFIX])), n + 1)
-                    parts.append((prefix, mix(_hash(sums, starts, starts + length) + U64(d) - starts.astype(np.uint64)), lo + starts, np.full(n + 1, ids[i])))
-                    size += n + 1
+        for whole in batches:
+            for a in range(0, len(whole), 8192):
+                batch = whole.slice(a, 8192)
+                doc, lo, n, d, first = (np.asarray(batch.column(i)).astype(np.int64) for i in range(5))
+                data, offsets = flat(batch.column(5))
+                sums = _sums(data)
+                row, step = _spread(n + 1)
+                start = offsets[row] + (lo - first)[row] + step
+                anchor = offsets[row] + (lo - first + d)[row]
+                parts.append((_hash(sums, anchor, anchor + PREFIX), mix(_hash(sums, start, start + length) + (anchor - start).astype(np.uint64)), doc[row], lo[row] + step))
+                size += len(row)
                 if size > 1_000_000:
-                    yield from flush(parts)
+                    yield flush(parts)
                     parts, size = [], 0
         if parts:
-            yield from flush(parts)
+            yield flush(parts)
 
     return run
 
@@ -243,6 +295,11 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 APPLIED = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, starts array<long>, ends array<long>"
 
 
+def _rank(rows: DataFrame, partitions: int) -> DataFrame:
+    dealt = rows.repartitionByRange(partitions, "prefix", "context", "id", "lo").sortWithinPartitions("prefix", "context")
+    return dealt.mapInArrow(_ranked, ANCHORS + ", whole boolean, on boolean")
+
+
 def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_bytes, n_removed, n_spans, kept_sha256, kept, starts, ends.
 
@@ -262,17 +319,25 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     doc, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
     source = docs.select(doc.alias("doc"), text.cast("binary").alias("text"), F.coalesce(doc, F.xxhash64(text).bitwiseOR(F.lit(-(2**63)))).alias("id"))
     found = work.table("anchors", source.select("id", "text").mapInArrow(_anchor_rows(length), ANCHORS))
-    sorted_ = found.repartitionByRange(partitions, "prefix", "context", "id", "lo").sortWithinPartitions("prefix", "context")
-    ranked = work.table("ranked", sorted_.mapInArrow(_ranked, ANCHORS + ", whole boolean, on boolean"))
+    ranked = work.table("ranked", _rank(found, partitions))
     work.drop("anchors")
 
     ragged = ranked.where("on").groupBy("id").agg(F.collect_list(F.struct("lo", "n", "d")).alias("runs"))
-    probes = source.join(ragged, "id").select("id", "text", "runs").mapInArrow(_string_rows(length), "prefix long, string long, id long, at long, again boolean, probe boolean")
+    contexts = source.join(ragged, "id").select("id", "text", "runs").mapInArrow(_contexts(length), "id long, anchor long, lo long, n int, bytes binary")
+    contexts = work.table("contexts", contexts)
+    runs = work.table("runs", contexts.mapInArrow(_run_rows(length), ANCHORS))
+    finer = work.table("finer", _rank(runs, partitions))
+    work.drop("runs")
+
+    left = finer.where("on").select("id", "lo", "n", "d", (F.col("lo") + F.col("d")).alias("anchor"))
+    left = left.join(contexts.select("id", "anchor", F.col("lo").alias("first"), "bytes"), ["id", "anchor"])
+    probes = left.select("id", "lo", "n", "d", "first", "bytes").mapInArrow(_string_rows(length), "prefix long, string long, id long, at long, again boolean, probe boolean")
     probes = work.table("probes", probes)
+    work.drop("contexts")
     settled = probes.where("again").select("id", "at")
     others = probes.where("probe").select("prefix", "string", "id", "at", "again").repartition(partitions, "prefix", "string").sortWithinPartitions("prefix", "string")
     strings = settled.unionByName(others.mapInArrow(_repeated, "id long, at long"))
-    spans = ranked.where("whole").select("id", F.col("lo"), (F.col("lo") + F.col("n") + length).alias("hi"))
+    spans = ranked.where("whole").unionByName(finer.where("whole")).select("id", F.col("lo"), (F.col("lo") + F.col("n") + length).alias("hi"))
     spans = spans.unionByName(strings.select("id", F.col("at").alias("lo"), (F.col("at") + length).alias("hi")))
     spans = spans.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     done = source.join(spans, "id", "left").select("doc", "text", "spans").mapInArrow(_apply, APPLIED)
