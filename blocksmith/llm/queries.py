@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .decontam import benchmark_hits
 from .idfiles import write_id_files
@@ -11,12 +12,18 @@ from .packing import pack_documents
 from .quality import quality_verdicts
 from .shards import balanced_shards
 from .suffixes import remove_repeats
+from .toxicity import fit_on_labels, held_out
+from .wordpieces import token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_wordpieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_read(spark, sf_dir, "documents"))
+
+
 def op3_idfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_id_files(_read(spark, sf_dir, "documents"), end=0).digests()
 
@@ -37,6 +44,12 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    scored = fit_on_labels(docs, _read(spark, sf_dir, "labels")).score(docs)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "threshold", "rejected")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_read(spark, sf_dir, "documents"), capacity=2048, end=1)
 
@@ -46,11 +59,13 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_wordpieces": op2_wordpieces,
     "op3_idfiles": op3_idfiles,
     "op4_decontam": op4_decontam,
     "op5_quality": op5_quality,
     "op6_shards": op6_shards,
     "op7_minhash": op7_minhash,
+    "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
     "op10_suffixes": op10_suffixes,
 }
