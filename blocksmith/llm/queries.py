@@ -9,6 +9,7 @@ from .decontam import benchmark_hits
 from .idfiles import write_id_files
 from .minhash import near_duplicates
 from .packing import pack_documents
+from .preferences import format_preferences
 from .quality import quality_verdicts
 from .shards import balanced_shards
 from .suffixes import remove_repeats
@@ -20,6 +21,12 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations 2 k (chosen) and 2 k + 1 (rejected) make a pair."""
+    turns = _read(spark, sf_dir, "conversations")
+    return format_preferences(turns.select(F.expr("conv_id div 2").alias("pair_id"), (F.pmod("conv_id", F.lit(2)) == 0).alias("chosen"), "turn", "role", "text"))
+
+
 def op2_wordpieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_read(spark, sf_dir, "documents"))
 
@@ -59,6 +66,7 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_preferences": op1_preferences,
     "op2_wordpieces": op2_wordpieces,
     "op3_idfiles": op3_idfiles,
     "op4_decontam": op4_decontam,
@@ -70,6 +78,28 @@ QUERIES = {
     "op10_suffixes": op10_suffixes,
 }
 ORACLE: dict[str, str] = {
+    "op1_preferences": """
+WITH t AS (
+  SELECT conv_id // 2 AS pair_id, conv_id % 2 = 0 AS chosen, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i,
+    '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS shown
+  FROM conversations),
+same AS (SELECT pair_id, i FROM t a JOIN t b USING (pair_id, i) WHERE a.chosen AND NOT b.chosen AND a.role = b.role AND a.text = b.text),
+p AS (
+  SELECT pair_id, count(*) FILTER (s) AS n_prefix FROM (
+    SELECT pair_id, bool_and(s) OVER (PARTITION BY pair_id ORDER BY i) AS s
+    FROM (SELECT DISTINCT t.pair_id, t.i, same.i IS NOT NULL AS s FROM t LEFT JOIN same ON t.pair_id = same.pair_id AND t.i = same.i))
+  GROUP BY pair_id),
+c AS (
+  SELECT t.*, n_prefix, i <= n_prefix AS common, sum(length(shown)) OVER (PARTITION BY t.pair_id, chosen, i <= n_prefix ORDER BY i) - length(text) - 8 AS pos0
+  FROM t JOIN p USING (pair_id))
+SELECT pair_id, n_prefix,
+  coalesce(string_agg(shown, '' ORDER BY i) FILTER (common AND chosen), '') AS prompt,
+  coalesce(string_agg(shown, '' ORDER BY i) FILTER (NOT common AND chosen), '') AS chosen,
+  coalesce(string_agg(shown, '' ORDER BY i) FILTER (NOT common AND NOT chosen), '') AS rejected,
+  coalesce(string_agg(pos0 || ':' || (length(text) + 8), ',' ORDER BY i) FILTER (NOT common AND chosen AND role = 'assistant'), '') AS chosen_mask,
+  coalesce(string_agg(pos0 || ':' || (length(text) + 8), ',' ORDER BY i) FILTER (NOT common AND NOT chosen AND role = 'assistant'), '') AS rejected_mask
+FROM c GROUP BY pair_id, n_prefix
+""",
     "op4_decontam": r"""
 WITH w AS (
   SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS ws FROM documents),
