@@ -266,7 +266,7 @@ def _places(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc, text, spans) to the cut text and its figures."""
+    """Rows (doc, text, spans, carry) to the cut text and its figures."""
     for batch in batches:
         rows = []
         for i in range(len(batch)):
@@ -289,7 +289,8 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows.append((len(data), removed, len(runs), hashlib.sha256(left).hexdigest(), left, [a for a, _ in runs], [b for _, b in runs]))
         columns = list(zip(*rows)) or [()] * 7
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-        yield pa.record_batch([batch.column(0), *(pa.array(x, t) for x, t in zip(columns, kinds))], ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "starts", "ends"])
+        names = ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "starts", "ends", "carry"]
+        yield pa.record_batch([batch.column(0), *(pa.array(x, t) for x, t in zip(columns, kinds)), batch.column(3)], names)
 
 
 APPLIED = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, starts array<long>, ends array<long>"
@@ -300,7 +301,7 @@ def _rank(rows: DataFrame, partitions: int) -> DataFrame:
     return dealt.mapInArrow(_ranked, ANCHORS + ", whole boolean, on boolean")
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs``: id, n_bytes, n_removed, n_spans, kept_sha256, kept, starts, ends.
 
     Removed is each byte that lies in a string of ``length`` bytes which also starts
@@ -309,7 +310,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     [starts, ends) the removed runs. Null texts are empty. Ids identify texts: rows
     that repeat an id must repeat its text, and are then copies like any others. Rows
     with a null id are known by a hash of their text; other ids must then not be
-    negative. Further columns are ignored. An empty table gives no rows.
+    negative. Columns named in ``carry`` come along in a struct of that name; others
+    are ignored. An empty table gives no rows.
     """
     if length < 2 * PREFIX or length > 1 << 16:
         raise ValueError(f"length must be from {2 * PREFIX} to 65536")
@@ -317,7 +319,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     work = Workspace(spark, "suffixes")
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     doc, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
-    source = docs.select(doc.alias("doc"), text.cast("binary").alias("text"), F.coalesce(doc, F.xxhash64(text).bitwiseOR(F.lit(-(2**63)))).alias("id"))
+    source = docs.select(doc.alias("doc"), text.cast("binary").alias("text"), F.coalesce(doc, F.xxhash64(text).bitwiseOR(F.lit(-(2**63)))).alias("id"), F.struct(*[F.col(c) for c in carry] or [F.lit(0).alias("none")]).alias("carry"))
     found = work.table("anchors", source.select("id", "text").mapInArrow(_anchor_rows(length), ANCHORS))
     ranked = work.table("ranked", _rank(found, partitions))
     work.drop("anchors")
@@ -340,5 +342,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     spans = ranked.where("whole").unionByName(finer.where("whole")).select("id", F.col("lo"), (F.col("lo") + F.col("n") + length).alias("hi"))
     spans = spans.unionByName(strings.select("id", F.col("at").alias("lo"), (F.col("at") + length).alias("hi")))
     spans = spans.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    done = source.join(spans, "id", "left").select("doc", "text", "spans").mapInArrow(_apply, APPLIED)
-    return done.withColumnRenamed("doc", id_col)
+    carried = source.schema["carry"].dataType.simpleString()
+    done = source.join(spans, "id", "left").select("doc", "text", "spans", "carry").mapInArrow(_apply, f"{APPLIED}, carry {carried}")
+    done = done.withColumnRenamed("doc", id_col)
+    return done if carry else done.drop("carry")

@@ -95,6 +95,12 @@ class Classifier:
                         np.subtract.at(self.embed, at, rate * to / np.sqrt(sums["embed"][at]))
                 self.embed[0] = 0
 
+    def head(self) -> Classifier:
+        """What is needed beside the tables."""
+        small = Classifier.__new__(Classifier)
+        small.bias, small.out, small.base, small.scale, small.shift = self.bias, self.out, self.base, self.scale, self.shift
+        return small
+
     def tables(self) -> list[list[np.ndarray]]:
         return [[(self.embed @ f[j]).astype(np.float32) for j in range(len(f))] for f in self.filters]
 
@@ -142,9 +148,7 @@ class ToxicityModel:
         Null and empty texts score like a text of one unknown word. Repeated rows and
         null ids are scored like any other row. An empty table gives no rows.
         """
-        net, tables = self.net, self.net.tables()
-        small = Classifier.__new__(Classifier)
-        small.bias, small.out, small.base, small.scale, small.shift = net.bias, net.out, net.base, net.scale, net.shift
+        small, tables = self.net.head(), self.net.tables()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -160,6 +164,25 @@ class ToxicityModel:
         return scored.select(F.col("id").alias(id_col), "score", threshold.alias("threshold"), (F.col("score") >= threshold).alias("rejected"))
 
 
+def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``docs`` without the rows that the model rejects, in all their columns; needs no shuffle."""
+    return docs.mapInArrow(_passing(model, docs.columns.index(text_col), docs.columns.index(lang_col)), docs.schema)
+
+
+def _passing(model: ToxicityModel, text: int, lang: int):
+    """Batches without the rows that the model rejects."""
+    net, tables, threshold, by_language = model.net.head(), model.net.tables(), model.threshold, model.by_language
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in slices(batch.column(text)):
+                part = batch.slice(a, b - a)
+                limits = np.array([by_language.get(x, threshold) for x in part.column(lang).to_pylist()])
+                yield part.filter(pa.array(_sigmoid(net.logits(*_padded(part.column(text)), tables)) < limits))
+
+    return run
+
+
 def _best_threshold(score: np.ndarray, label: np.ndarray) -> float:
     """The midpoint of the gap between scores that gives the most F1; ties: the highest."""
     order = np.argsort(-score, kind="stable")

@@ -1,10 +1,62 @@
-"""Documents through the training-data operators, stage by stage."""
+"""Documents through the training-data operators, stage by stage.
+
+Each stage gets what its predecessor kept, as written and read again.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from blocksmith.llm.decontam import decontaminate
+from blocksmith.llm.minhash import near_duplicates
+from blocksmith.llm.packing import pack_documents
+from blocksmith.llm.shared import Workspace
+from blocksmith.llm.suffixes import remove_repeats
+from blocksmith.llm.toxicity import drop_toxic, fit_on_labels
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier doesn't reject."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return drop_toxic(docs.select(COLUMNS), fit_on_labels(docs, labels))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the smallest id, of each group of near duplicates; five-word shingles, similarity 0.8."""
+    kept = near_duplicates(docs, k=5, percent=80).where("kept").select(F.col("doc_id").alias("_id"))
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(COLUMNS)
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages of 200 bytes and more that occur twice; a character that a cut splits goes too."""
+    cut = remove_repeats(docs, length=200, carry=("lang", "source"))
+    left = F.col("kept").cast("string")
+    text = F.when(F.is_valid_utf8(left), left).otherwise(F.replace(F.make_valid_utf8(left), F.lit("\ufffd"), F.lit("")))
+    return cut.select("doc_id", text.alias("text"), "carry.lang", "carry.source").select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any eight-word window of a benchmark item."""
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), least_items=1).select(COLUMNS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 2048 tokens."""
+    return pack_documents(docs, capacity=2048, end=1)
+
+
+STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("suffix_dedup", suffix_dedup), ("decontamination", decontamination), ("packing", packing)]
+#: Training and packing can't be put in SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    work = Workspace(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = work.table(name, stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
