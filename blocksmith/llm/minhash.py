@@ -3,13 +3,16 @@
 Texts with equal shingle sets are first folded into one representative. Each
 representative's shingle hashes fall into buckets by their top bits; a bucket keeps
 the leading-zero count of its smallest hash and the mantissa bits that follow, in
-16 bits. Empty buckets borrow from others, so that short texts can be banded too.
+8 bits. Empty buckets borrow from others, so that short texts can be banded too.
 Representatives that share a band are compared with one of them (the hub of the
 band); links are estimated from the registers with a correction for chance
 collisions, and those that could reach the threshold are confirmed on the full
 sets. Where a band still holds several components after that, its members are
-compared across components, in blocks, so that no candidate link is lost and no
-band's pairs are all written out.
+compared in blocks: first along a spanning tree of the best estimates, then, where
+components remain apart, for every pair of different components that could link, in
+the first band that the two share. Short texts also carry 16 bits of each hash, which
+bound the intersection from above. So no candidate link is lost, and copies of one
+text don't give all their pairs.
 """
 
 from __future__ import annotations
@@ -26,9 +29,16 @@ from .components import components
 from .shared import Workspace
 from .textarrays import U64, mix, shingle_sets, slices
 
-#: log2 of the buckets, and mantissa bits of a register.
-P, MANTISSA = 8, 10
+#: log2 of the buckets; bits of a register's mantissa (its leading-zero count has 5).
+P, MANTISSA = 9, 3
 M = 1 << P
+EMPTY = 255
+#: Registers that are banded.
+BANDED = 256
+#: How often two different minima agree: their leading-zero counts by 0.36, their mantissas by chance.
+CHANCE = 0.36 * 2.0**-MANTISSA
+#: Hashes of a set up to which 16 bits of each are kept.
+SHORT = 512
 #: Members of a band that are compared with each other in one task.
 BLOCK = 512
 
@@ -36,8 +46,8 @@ BLOCK = 512
 def bands_for(percent: int) -> tuple[int, int]:
     """(bands, rows): the most rows with which a link at the threshold is missed at most once in a million."""
     t = percent / 100
-    rows = max((r for r in range(1, 17) if (1 - t**r) ** (M // r) <= 1e-6), default=1)
-    return M // rows, rows
+    rows = max((r for r in range(1, 17) if (1 - t**r) ** (BANDED // r) <= 1e-6), default=1)
+    return BANDED // rows, rows
 
 
 def _fill_order() -> np.ndarray:
@@ -46,8 +56,8 @@ def _fill_order() -> np.ndarray:
 
 
 def registers(sets: list[np.ndarray]) -> np.ndarray:
-    """uint16 registers (len(sets), M); 65535 where a bucket is empty."""
-    out = np.full((len(sets), M), 0xFFFF, np.uint16)
+    """uint8 registers (len(sets), M); EMPTY where a bucket is empty."""
+    out = np.full((len(sets), M), EMPTY, np.uint8)
     bounds = np.arange(M, dtype=np.uint64) << U64(64 - P)
     for i, one in enumerate(sets):
         if len(one):
@@ -56,15 +66,15 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
             full = last > at
             rest = one[at[full]] << U64(P)
             zeros = 63 - np.frexp((rest >> U64(11)).astype(np.float64))[1] - 10
-            zeros = np.clip(zeros, 0, 62)
+            zeros = np.clip(zeros, 0, 30)
             mantissa = (rest << (zeros + 1).astype(np.uint64)) >> U64(64 - MANTISSA)
-            out[i, full] = (zeros.astype(np.uint16) << MANTISSA) | mantissa.astype(np.uint16)
+            out[i, full] = ((zeros << MANTISSA) | mantissa.astype(np.int64)).astype(np.uint8)
     return out
 
 
 def filled(regs: np.ndarray, order: np.ndarray) -> np.ndarray:
     """Registers in which each empty bucket has the value of the first full one in its order."""
-    full = regs != 0xFFFF
+    full = regs != EMPTY
     out = regs.copy()
     for i in np.flatnonzero(~full.all(1) & full.any(1)):
         empty = np.flatnonzero(~full[i])
@@ -74,23 +84,23 @@ def filled(regs: np.ndarray, order: np.ndarray) -> np.ndarray:
     return out
 
 
-def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Jaccard estimates, corrected for chance collisions, and the count of buckets behind each.
 
     Two different minima agree by chance if both leading-zero count and mantissa
-    agree; for minima of about n / M hashes that is close to 2**-(MANTISSA + 1).
+    agree.
     """
-    used = ((a != 0xFFFF) | (b != 0xFFFF)).sum(-1)
-    same = ((a == b) & (a != 0xFFFF)).sum(-1)
-    chance = used * 2.0 ** -(MANTISSA + 1)
+    used = ((a != EMPTY) | (b != EMPTY)).sum(-1)
+    same = ((a == b) & (a != EMPTY)).sum(-1)
+    chance = used * CHANCE
     return np.clip((same - chance) / np.maximum(used - chance, 1), 0, 1), used
 
 
 def may_link(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
-    """Pairs that can reach the threshold: sizes allow it and the estimate is within six deviations."""
+    """Pairs that can reach the threshold: sizes allow it and the estimate is within five deviations."""
     t = percent / 100
-    score, used = estimate(a, b, na, nb)
-    return (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (score >= t - 6 * np.sqrt(t * (1 - t) / np.maximum(used, 1)) - 1 / M)
+    score, used = estimate(a, b)
+    return (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (score >= t - 5 * np.sqrt(t * (1 - t) / np.maximum(used, 1)) - 1 / M)
 
 
 def _digests(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -103,38 +113,61 @@ def _binary(rows: list[bytes]) -> pa.Array:
     return pa.array(rows, pa.binary())
 
 
-def _sketcher(k: int):
+def _low(one: np.ndarray) -> bytes:
+    """The sorted low 16 bits of a short set's hashes; nothing for others."""
+    return np.sort((one & U64(0xFFFF)).astype(np.uint16)).tobytes() if len(one) <= SHORT else b""
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """Intersection of two sorted multisets."""
+    values, counts = np.unique(a, return_counts=True)
+    others, more = np.unique(b, return_counts=True)
+    at = np.searchsorted(others, values).clip(max=len(others) - 1)
+    return int(np.minimum(counts, more[at])[others[at] == values].sum())
+
+
+def _band_keys(regs: np.ndarray, order: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """uint64 keys (len(regs), bands)."""
+    regs = filled(regs, order)[:, : bands * rows].astype(np.uint64).reshape(len(regs), bands, rows)
+    keys = np.full((len(regs), bands), 1, np.uint64) * np.arange(1, bands + 1, dtype=np.uint64)
+    for j in range(rows):
+        keys = mix(keys * U64(0xD6E8FEB86659FD93) + regs[:, :, j] + U64(1))
+    return keys
+
+
+def _sketcher(k: int, bands: int, rows: int):
+    order = _fill_order()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in slices(batch.column(1)):
                 sets = shingle_sets(batch.column(1).slice(a, b - a), k)
                 d1, d2 = _digests(sets)
                 regs = registers(sets)
+                keys = _band_keys(regs, order, bands, rows)
                 yield pa.record_batch(
-                    [batch.column(0).slice(a, b - a), pa.array(d1), pa.array(d2), pa.array([len(x) for x in sets], pa.int64()), _binary([x.tobytes() for x in regs])],
-                    ["id", "d1", "d2", "n", "regs"],
-                )
+                    [
+                        batch.column(0).slice(a, b - a), pa.array(d1), pa.array(d2), pa.array([len(x) for x in sets], pa.int64()), _binary([x.tobytes() for x in regs]),
+                        _binary([_low(x) for x in sets]), _binary([x.tobytes() for x in keys]),
+                    ],
+                    ["id", "d1", "d2", "n", "regs", "low", "keys"],
+                )
 
     return run
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), M)
-
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), M)
 
-def _bander(bands: int, rows: int):
-    order = _fill_order()
 
+def _bander(bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for a in range(0, len(whole), 512):
-                batch = whole.slice(a, 512)
-                regs = filled(_matrix(batch.column(2)), order)[:, : bands * rows].astype(np.uint64).reshape(len(batch), bands, rows)
-                keys = np.full((len(batch), bands), 1, np.uint64) * np.arange(1, bands + 1, dtype=np.uint64)
-                for j in range(rows):
-                    keys = mix(keys * U64(0xD6E8FEB86659FD93) + regs[:, :, j] + U64(1))
-                again = np.repeat(np.arange(len(batch)), bands)
-                yield pa.record_batch([pa.array(keys.ravel().view(np.int64)), batch.column(0).take(pa.array(again)), batch.column(1).take(pa.array(again))], ["key", "rep", "n"])
+            for a in range(0, len(whole), 2048):
+                batch = whole.slice(a, 2048)
+                keys = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int64)
+                again = pa.array(np.repeat(np.arange(len(batch)), bands))
+                yield pa.record_batch([pa.array(keys), batch.column(0).take(again), batch.column(1).take(again)], ["key", "rep", "n"])
 
     return run
 
@@ -218,24 +251,45 @@ def _confirmer(percent: int):
     return run
 
 
-def _crosser(percent: int):
-    """Within a block of a band: pairs of different components that may link."""
+def _crosser(percent: int, tree: bool):
+    """Within a block of a band: pairs of different components that may link; with ``tree`` only a spanning forest of the best estimates."""
 
     def run(table: pa.Table) -> pa.Table:
         rep, label, n, side = (np.asarray(table.column(c).combine_chunks()) for c in ("rep", "label", "n", "side"))
         regs = _matrix(table.column("regs").combine_chunks())
+        keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.int64).reshape(len(rep), -1)
+        low = [np.frombuffer(x, np.uint16) for x in table.column("low").to_pylist()]
+        band = int(np.flatnonzero(keys[0] == table.column("key")[0].as_py())[0])
         left = np.flatnonzero(side != 1)
         right = np.flatnonzero(side != 0)
-        a, b = [], []
+        a, b, score = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         for i in left:
-            j = right[label[right] != label[i]]
-            j = j[(100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
+            j = right[(label[right] != label[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
+            if not tree and len(j):
+                j = j[~(keys[j, :band] == keys[i, :band]).any(1)]
             if len(j):
                 j = j[may_link(regs[j], regs[i][None], n[j], n[i], percent)]
-                a.append(np.minimum(rep[i], rep[j]))
-                b.append(np.maximum(rep[i], rep[j]))
-        empty = np.zeros(0, np.int64)
-        return pa.table({"a": np.concatenate(a) if a else empty, "b": np.concatenate(b) if b else empty})
+            if not tree and len(low[i]):
+                j = np.array([x for x in j.tolist() if not len(low[x]) or (100 + percent) * _common(low[i], low[x]) >= percent * (n[i] + n[x])], np.int64)
+            if len(j):
+                a.append(np.full(len(j), i))
+                b.append(j)
+                score.append(estimate(regs[j], regs[i][None])[0])
+        a, b = np.concatenate(a), np.concatenate(b)
+        if tree:
+            up = {x: x for x in label.tolist()}
+            chosen = []
+            for k in np.argsort(-np.concatenate(score), kind="stable").tolist():
+                x, y = int(label[a[k]]), int(label[b[k]])
+                while up[x] != x:
+                    up[x] = x = up[up[x]]
+                while up[y] != y:
+                    up[y] = y = up[up[y]]
+                if x != y:
+                    up[x] = y
+                    chosen.append(k)
+            a, b = a[chosen], b[chosen]
+        return pa.table({"a": np.minimum(rep[a], rep[b]), "b": np.maximum(rep[a], rep[b])})
 
     return run
 
@@ -256,11 +310,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     work = Workspace(spark, "minhash")
     bands, rows = bands_for(percent)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sketch = work.table("sketch", source.mapInArrow(_sketcher(k), "id long, d1 long, d2 long, n long, regs binary"))
-    reps = work.table("reps", sketch.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs")))
+    sketch = work.table("sketch", source.mapInArrow(_sketcher(k, bands, rows), "id long, d1 long, d2 long, n long, regs binary, low binary, keys binary"))
+    same = [F.first(c).alias(c) for c in ("n", "regs", "low", "keys")]
+    reps = work.table("reps", sketch.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("rep"), *same))
 
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    banded = reps.select("rep", "n", "regs").mapInArrow(_bander(bands, rows), "key long, rep long, n long")
+    banded = reps.select("rep", "n", "keys").mapInArrow(_bander(bands), "key long, rep long, n long")
     stars = work.table(
         "stars", banded.repartitionByRange(partitions, "key", "rep").sortWithinPartitions("key", "rep").mapInArrow(_stars, "key long, hub long, rep long, n long, hub_n long")
     )
@@ -270,27 +325,38 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     pairs = work.table("pairs", pairs)
     links = _confirmed(pairs, source, reps, work, k, percent, "1", check=True)
 
-    labels = work.table("labels", components(links, work, "c1"))
-    placed = stars.select("key", "rep", "n").distinct().join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("label", "rep").alias("label"))
-    placed = work.table("placed", placed)
-    open_ = work.table("open", placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("key", "size"))
-    inside = placed.join(open_, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    inside = inside.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    inside = inside.select(
-        "key", "rep", "n", "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-        F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
-    )
-    crossed = inside.join(reps.select("rep", "regs"), "rep").groupBy("key", "i", "j").applyInArrow(_crosser(percent), "a long, b long")
-    crossed = work.table("crossed", crossed.distinct().join(pairs, ["a", "b"], "left_anti"))
-    more = _confirmed(crossed, source, reps, work, k, percent, "2", check=False)
+    tested, step = pairs, 1
+    members = work.table("members", stars.select("key", "rep", "n").distinct())
+    for tree in (True, False):
+        step += 1
+        crossed = _crossed(members, components(links, work, f"c{step}"), reps, work, percent, tree, step)
+        crossed = work.table(f"crossed{step}", crossed.join(tested, ["a", "b"], "left_anti"))
+        links = links.unionByName(_confirmed(crossed, source, reps, work, k, percent, str(step), check=False))
+        tested = tested.unionByName(crossed)
 
-    final = components(links.unionByName(more), work, "c2")
+    final = components(links, work, "last")
     reach = work.table("reach", reps.select("d1", "d2", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("label", "rep").alias("root")))
     out = sketch.select("id", "n", "d1", "d2").join(reach, ["d1", "d2"], "left")
     component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("root")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
+def _crossed(members: DataFrame, labels: DataFrame, reps: DataFrame, work: Workspace, percent: int, tree: bool, step: int) -> DataFrame:
+    """Pairs of representatives that share a band, lie in different components and may link."""
+    placed = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("label", "rep").alias("label"))
+    placed = work.table(f"placed{step}", placed)
+    apart = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("key", "size")
+    apart = work.table(f"apart{step}", apart)
+    inside = placed.join(apart, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    inside = inside.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    inside = inside.select(
+        "key", "rep", "n", "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+        F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
+    )
+    pairs = inside.join(reps.select("rep", "regs", "low", "keys"), "rep").groupBy("key", "i", "j").applyInArrow(_crosser(percent, tree), "a long, b long")
+    return work.table(f"cross{step}", pairs.distinct())
+
+
 def _confirmed(pairs: DataFrame, source: DataFrame, reps: DataFrame, work: Workspace, k: int, percent: int, name: str, check: bool) -> DataFrame:
     """The pairs (a, b) that reach the threshold on their full sets."""
     if check:
