@@ -82,5 +82,5 @@ def benchmark_hits(
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the contaminated documents; all columns and all other rows stay."""
-    bad = benchmark_hits(docs, benchmark, id_col=id_col, text_col=text_col, **options).where("contaminated").select(F.col(id_col).alias("_id"), F.col("tie").alias("_tie"))
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_tie")), "left_anti")
+    bad = benchmark_hits(docs, benchmark, id_col=id_col, text_col=text_col, **options).where("contaminated").select(F.col(id_col).alias("__hit_id"), F.col("tie").alias("__hit_tie"))
+    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__hit_id")) & (F.xxhash64(text_col) == F.col("__hit_tie")), "left_anti")
