@@ -99,6 +99,17 @@ SELECT pair_id, n_prefix,
   coalesce(string_agg(pos0 || ':' || (length(text) + 8), ',' ORDER BY i) FILTER (NOT common AND chosen AND role = 'assistant'), '') AS chosen_mask,
   coalesce(string_agg(pos0 || ':' || (length(text) + 8), ',' ORDER BY i) FILTER (NOT common AND NOT chosen AND role = 'assistant'), '') AS rejected_mask
 FROM c GROUP BY pair_id, n_prefix
+""",
+    "op6_shards": """
+WITH tab AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+b AS (SELECT doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h FROM documents),
+d AS (
+  SELECT doc_id, CAST(strlen(text) + 1 AS BIGINT) AS size,
+    xor(list_reduce(list_concat([4294967295], list_transform(range(strlen(text)), lambda i: CAST(('0x' || substr(h, 2 * i + 1, 2)) AS BIGINT))), lambda s, x: xor(s >> 8, tab[(xor(s, x) & 255) + 1])), 4294967295) AS text_crc32
+  FROM b, tab),
+p AS (SELECT *, sum(size) OVER (ORDER BY doc_id, text_crc32, size) - size AS start, sum(size) OVER () AS total FROM d),
+s AS (SELECT *, CAST(least(15, (2 * start + size) * 16 // (2 * total)) AS INTEGER) AS shard FROM p)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32, size) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s
 """,
     "op4_decontam": r"""
 WITH w AS (
