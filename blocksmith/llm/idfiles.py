@@ -126,6 +126,7 @@ def _encode(path: str, end: int, dictionary: bytes | None, level: int):
                     ],
                     ["id", "tie", "n_tokens", "width", "frame"],
                 )
+        known.shrink()
 
     return run
 

@@ -99,6 +99,7 @@ def _cut(path: str, end: int, capacity: int, keep: bool):
                 names = [x.split()[0] for x in PIECES.split(", ")] + ["ids"] * keep
                 kinds = [pa.int64()] * 5 + [pa.int32(), pa.int64()] + [pa.binary()] * keep
                 yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names)
+        known.shrink()
 
     return run
 

@@ -29,7 +29,7 @@ _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 def powers(n: int, kind: str = "up") -> np.ndarray:
     """BASE**i (or its inverse) modulo 2**64 for i < n."""
     if len(_powers[kind]) < n:
-        step = np.full(max(n, 2 * len(_powers[kind])), BASE if kind == "up" else INVERSE, np.uint64)
+        step = np.full(n + n // 4, BASE if kind == "up" else INVERSE, np.uint64)
         step[0] = 1
         _powers[kind] = np.multiply.accumulate(step)
     return _powers[kind][:n]
@@ -45,7 +45,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def slices(column: pa.Array | pa.ChunkedArray, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def slices(column: pa.Array | pa.ChunkedArray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``most`` text bytes, or of one longer text."""
     if len(column) == 0:
         return

@@ -13,13 +13,16 @@ import json
 import os
 import re
 import struct
+from itertools import islice
 from pathlib import Path
 
 import numpy as np
 
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
-#: Words and splits that a Python worker remembers; later ones are encoded each time.
-MOST_WORDS, MOST_SPLITS = 600_000, 700_000
+#: Words and splits that a Python worker remembers within a task; later ones are encoded each time.
+MOST_WORDS, MOST_SPLITS = 400_000, 500_000
+#: The share of them, the first met, that it keeps for the next task.
+KEPT = 0.3
 _UNSAFE = re.compile(r"\s \s|\s \Z")
 _encoders: dict[str, Encoder] = {}
 
@@ -108,6 +111,14 @@ class Encoder:
         table = self.stand_in
         return b"".join([self.splits[x.encode().decode("latin-1").translate(table)] for x in self.find(before + word)])
 
+    def shrink(self) -> None:
+        """Forget most of what was remembered; a worker that serves other operators next should not hold it."""
+        for known, most in ((self.words, MOST_WORDS), (self.splits, MOST_SPLITS)) if self.by_word else ():
+            if len(known) > KEPT * most:
+                kept = list(islice(known.items(), int(KEPT * most)))
+                known.clear()
+                known.update(kept)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return self._direct(texts)
