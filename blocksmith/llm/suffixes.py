@@ -72,21 +72,22 @@ def anchors(data: np.ndarray, sums: np.ndarray, length: int) -> tuple[np.ndarray
     return first, np.append(first[1:], len(at)) - 1, at[first]
 
 
-def _pieces(column: pa.Array, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _pieces(column: pa.Array, length: int, segment: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(bytes, rows, offsets in the row's text) of parts of whole texts, each with ``length`` - 1 bytes of what follows."""
     data, offsets = flat(column)
+    segment = segment or SEGMENT
     for i in range(len(offsets) - 1):
         a, b = int(offsets[i]), int(offsets[i + 1])
-        for s in range(a, b - length + 1, SEGMENT):
-            yield data[s : min(b, s + SEGMENT + length - 1)], i, s - a
+        for s in range(a, b - length + 1, segment):
+            yield data[s : min(b, s + segment + length - 1)], i, s - a
 
 
-def _anchor_rows(length: int):
+def _anchor_rows(length: int, segment: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in slices(batch.column(1)):
                 out = []
-                for data, row, start in _pieces(batch.column(1).slice(a, b - a), length):
+                for data, row, start in _pieces(batch.column(1).slice(a, b - a), length, segment):
                     sums = _sums(data)
                     lo, hi, at = anchors(data, sums, length)
                     prefix = _hash(sums, at, at + PREFIX)
@@ -106,11 +107,13 @@ def _anchor_rows(length: int):
 ANCHORS = "prefix long, context long, id long, lo long, n int, d int"
 
 
-def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _ranked(batches: Iterator[pa.RecordBatch], least: int = 0) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (prefix, context): ``whole`` marks contexts that occur again; of the others, those whose prefix does.
 
     One row of each repeated context goes on too if its prefix has another context.
     The first and the last prefix of a task may have rows elsewhere and always go on.
+    Rows with ``n`` under ``least`` only have a stand-in for their context: each counts
+    as a context of its own, never as a copy.
     """
     held: list[pa.RecordBatch] = []
     first = True
@@ -119,7 +122,8 @@ def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal first
         prefix, context = (np.asarray(table.column(i).combine_chunks()) for i in (0, 1))
         new_prefix = np.append(True, prefix[1:] != prefix[:-1])
-        new_context = new_prefix | np.append(True, context[1:] != context[:-1])
+        alone = np.asarray(table.column(4).combine_chunks()) < least
+        new_context = new_prefix | np.append(True, context[1:] != context[:-1]) | alone | np.append(False, alone[:-1])
         group, kind = np.cumsum(new_prefix) - 1, np.cumsum(new_context) - 1
         sizes, copies = np.bincount(group), np.bincount(kind)
         kinds = np.bincount(group[new_context])
@@ -296,9 +300,9 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 APPLIED = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, starts array<long>, ends array<long>"
 
 
-def _rank(rows: DataFrame, partitions: int) -> DataFrame:
+def _rank(rows: DataFrame, partitions: int, least: int = 0) -> DataFrame:
     dealt = rows.repartitionByRange(partitions, "prefix", "context", "id", "lo").sortWithinPartitions("prefix", "context")
-    return dealt.mapInArrow(_ranked, ANCHORS + ", whole boolean, on boolean")
+    return dealt.mapInArrow(lambda batches: _ranked(batches, least), ANCHORS + ", whole boolean, on boolean")
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -320,7 +324,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     doc, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
     source = docs.select(doc.alias("doc"), text.cast("binary").alias("text"), F.coalesce(doc, F.xxhash64(text).bitwiseOR(F.lit(-(2**63)))).alias("id"), F.struct(*[F.col(c) for c in carry] or [F.lit(0).alias("none")]).alias("carry"))
-    found = work.table("anchors", source.select("id", "text").mapInArrow(_anchor_rows(length), ANCHORS))
+    found = work.table("anchors", source.select("id", "text").mapInArrow(_anchor_rows(length, SEGMENT), ANCHORS))
     ranked = work.table("ranked", _rank(found, partitions))
     work.drop("anchors")
 
@@ -328,11 +332,13 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     contexts = source.join(ragged, "id").select("id", "text", "runs").mapInArrow(_contexts(length), "id long, anchor long, lo long, n int, bytes binary")
     contexts = work.table("contexts", contexts)
     runs = work.table("runs", contexts.mapInArrow(_run_rows(length), ANCHORS))
-    finer = work.table("finer", _rank(runs, partitions))
+    finer = work.table("finer", _rank(runs, partitions, RUN - 1))
     work.drop("runs")
 
-    left = finer.where("on").select("id", "lo", "n", "d", (F.col("lo") + F.col("d")).alias("anchor"))
-    left = left.join(contexts.select("id", "anchor", F.col("lo").alias("first"), "bytes"), ["id", "anchor"])
+    # Starts on both sides of a segment's end can have one anchor, but each a context of its own.
+    segment = F.floor(F.col("lo") / SEGMENT).alias("segment")
+    left = finer.where("on").select("id", "lo", "n", "d", (F.col("lo") + F.col("d")).alias("anchor"), segment)
+    left = left.join(contexts.select("id", "anchor", segment, F.col("lo").alias("first"), "bytes"), ["id", "anchor", "segment"])
     probes = left.select("id", "lo", "n", "d", "first", "bytes").mapInArrow(_string_rows(length), "prefix long, string long, id long, at long, again boolean, probe boolean")
     probes = work.table("probes", probes)
     work.drop("contexts")

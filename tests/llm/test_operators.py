@@ -141,6 +141,30 @@ def test_segments_of_long_texts(spark, monkeypatch):
     assert whole[0][1] == 1600 + 400 and whole[1][1] == 1600
 
 
+def test_segment_boundaries_remove_nothing_unique(spark, monkeypatch):
+    r = random.Random(5)
+    draw = lambda n: bytes(r.choices(range(97, 123), k=n)).decode()
+    found = suffixes.remove_repeats(spark.createDataFrame([(0, draw(9 << 20))], "doc_id long, text string")).collect()
+    assert found[0]["n_removed"] == 0
+    texts = [draw(9000) for _ in range(4)]
+    texts += [draw(150) + texts[0][1000:4000] + draw(77), texts[1][:2000] + draw(50) + texts[1][1700:2300], draw(333) + texts[2], draw(500) + texts[0][1290:1495] + draw(500)]
+    monkeypatch.setattr(suffixes, "SEGMENT", 300)
+    seen = Counter(x[p : p + 200] for x in texts for p in range(len(x) - 199))
+    for row in suffixes.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        x = texts[row["doc_id"]]
+        gone = {p + k for p in range(len(x) - 199) if seen[x[p : p + 200]] > 1 for k in range(200)}
+        assert bytes(row["kept"]).decode() == "".join(c for p, c in enumerate(x) if p not in gone)
+
+
+def test_partial_runs_of_two_texts_are_no_copies():
+    import pyarrow as pa
+
+    data = {"prefix": [5, 5, 5, 5], "context": [8, 8, 9, 9], "id": [1, 18, 3, 4], "lo": [0, 0, 0, 0], "n": [3, 3, 7, 7], "d": [4, 4, 7, 7]}
+    rows = pa.table(data).to_batches()
+    got = [x for b in suffixes._ranked(iter(rows), suffixes.RUN - 1) for x in b.to_pylist()]
+    assert [(x["id"], x["whole"], x["on"]) for x in got] == [(1, False, True), (18, False, True), (3, True, True), (4, True, False)]
+
+
 def test_decontamination(spark, docs, rows, nothing, extra):
     items = [(1, rows[0][1][:200]), (2, rows[1][1]), (3, "One TWO"), (4, ""), (5, None), (None, "one"), (6, "été1"), (7, " ".join(f"shared{i}" for i in range(20))), (7, " ".join(f"shared{i}" for i in range(20)))]
     bench = spark.createDataFrame([(*x, 0) for x in items], "item_id long, text string, id long")
