@@ -225,6 +225,17 @@ def test_quality_outliers(spark):
     assert not any(v for k, v in kept.items() if k >= 1000) and sum(v for k, v in kept.items() if k < 1000) >= 148
 
 
+def test_each_deviation_can_reject_alone(spark):
+    r = random.Random(6)
+    word = lambda: "w" + str(r.randint(10**5, 10**6))
+    rows = [(i, " ".join(word() for _ in range(r.randint(150, 250)))) for i in range(150)]
+    twice, lines = ([word() for _ in range(n)] for n in (45, 80))
+    rows += [(1000, " ".join(twice + [word() for _ in range(110)] + twice)), (1001, "\n".join([x for x in lines for _ in range(2)] + [word() for _ in range(40)]))]
+    got = {x["doc_id"]: x for x in quality.quality_verdicts(spark.createDataFrame([(*x, "en", "a") for x in rows], "doc_id long, text string, lang string, source string")).collect()}
+    assert (got[1000]["n_words"], got[1000]["n_repeat_words"], got[1001]["n_repeat_words"], got[1001]["n_dup_lines"]) == (200, 90, 0, 80)
+    assert not any(got[i]["base_failed"] or got[i]["kept"] for i in (1000, 1001)) and sum(got[i]["kept"] for i in range(150)) >= 148
+
+
 def test_chi_square():
     assert abs(quality.chi2_cdf(quality.chi2_quantile(0.95, 5), 5) - 0.95) < 1e-9 and abs(quality.chi2_quantile(0.95, 5) - 11.0705) < 1e-3
 
