@@ -177,22 +177,29 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Base rules reject texts of fewer than 50 words and texts with over half of their
     words in repeated three-word windows. The others are judged by squared
-    Mahalanobis distance from the robust estimate of their group; groups of fewer
-    than LEAST such documents are judged together. Nulls in the ``by`` columns are a
+    Mahalanobis distance from the robust estimate of their group; a group of fewer
+    than LEAST such documents is judged by the estimate of all that share its first
+    ``by`` columns, one column less at a time until there are LEAST, at last by that of
+    all documents. Nulls in the ``by`` columns are a
     value like others; null texts have no words. Deviations below FLOORS are never
     held against a text. Ids are only carried; rows may repeat. An empty table gives
     no rows. Further columns are ignored.
     """
     work = Workspace(docs.sparkSession, "quality")
-    base = docs.select(F.col(id_col).alias("id"), F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in by])).alias("own"), F.col(text_col).alias("_text"))
+    keys = [F.concat(F.lit(f"{n} "), F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in by[:n]]))) for n in range(len(by), 0, -1)]
+    base = docs.select(F.col(id_col).alias("id"), F.array(*keys, F.lit("")).alias("keys"), F.col(text_col).alias("_text"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    counts = _vectors(text_counts(base, "_text").drop("_text")).withColumn("base_failed", failed)
+    counts = _vectors(text_counts(base, "_text").drop("_text")).withColumn("base_failed", failed).withColumn("own", F.col("keys")[0])
     counts = work.table("counts", counts)
-    sizes = counts.where("not base_failed").groupBy("own").agg(F.count("*").alias("c")).where(f"c >= {LEAST}").select("own", F.col("own").alias("g"))
+    sizes = counts.groupBy("own", "keys").agg(F.count_if(~F.col("base_failed")).alias("c")).select("own", "c", F.posexplode("keys").alias("level", "key"))
     sizes = work.table("sizes", sizes)
-    few = sizes.count() <= MOST_BROADCAST
-    grouped = counts.join(F.broadcast(sizes) if few else sizes, "own", "left").withColumn("g", F.coalesce("g", F.lit("")))
-    params = outlier_estimates(grouped.where("not base_failed").select("g", *V), work)
+    large = sizes.groupBy("key").agg(F.sum("c").alias("c")).where(f"c >= {LEAST} or key = ''").select("key")
+    judges = work.table("judges", sizes.join(large, "key").groupBy("own").agg(F.min_by("key", "level").alias("g")))
+    members = work.table("members", sizes.select("own", F.col("key").alias("g")).join(judges.select("g").distinct(), "g"))
+    few = members.count() <= MOST_BROADCAST
+    hint = F.broadcast if few else (lambda x: x)
+    grouped = counts.join(hint(judges), "own")
+    params = outlier_estimates(counts.where("not base_failed").join(hint(members), "own").select("g", *V), work)
     judged = grouped.join(F.broadcast(params) if few else params, "g", "left").withColumn("distance", _distance())
     columns = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance"]
     return judged.select(F.col("id").alias(id_col), *columns, (~F.col("base_failed") & (F.col("distance") <= cutoff)).alias("kept"))

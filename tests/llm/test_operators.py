@@ -236,6 +236,19 @@ def test_each_deviation_can_reject_alone(spark):
     assert not any(got[i]["base_failed"] or got[i]["kept"] for i in (1000, 1001)) and sum(got[i]["kept"] for i in range(150)) >= 148
 
 
+def test_small_sources_are_judged_by_their_language(spark):
+    r = random.Random(9)
+    text = lambda size: " ".join("".join(r.choice("abcdefgh") for _ in range(size + r.randint(0, 1))) for _ in range(r.randint(80, 200)))
+    rows = [(i, text(4), "en", "a") for i in range(300)] + [(1000 + i, text(14), "de", "a") for i in range(80)]
+    rows += [(2000 + i, text(14), "de", "b") for i in range(10)] + [(3000 + i, text(4), "de", "c") for i in range(5)]
+    rows += [(4000 + i, text(4), None, None) for i in range(5)] + [(5000 + i, text(4), "en", None) for i in range(5)]
+    rows += [(6000, "few", "fr", "d")]
+    got = quality.quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert len(got) == len(rows)
+    kept = Counter(x["doc_id"] // 1000 for x in got if x["kept"])
+    assert kept[2] == 10 and kept[3] == 0 and kept[4] == 5 and kept[5] == 5 and kept[6] == 0
+
+
 def test_chi_square():
     assert abs(quality.chi2_cdf(quality.chi2_quantile(0.95, 5), 5) - 0.95) < 1e-9 and abs(quality.chi2_quantile(0.95, 5) - 11.0705) < 1e-3
 
