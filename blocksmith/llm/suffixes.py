@@ -1,9 +1,9 @@
-"""Repeated byte strings across and within texts, by prefix doubling over sampled positions.
+"""Repeated byte strings across and within texts, by hashes of strings at sampled anchors.
 
 Every string of ``length`` bytes holds one anchor: the position in its first bytes
 whose 64-byte prefix has the smallest hash (ties: the leftmost). Equal strings have
-the same anchor at the same offset. So strings are ranked by their anchors first,
-at growing offsets, and a position is dropped as soon as its rank is unique:
+the same anchor at the same offset. So strings are grouped by their anchors first,
+in three steps, and a position is dropped as soon as its rank is unique:
 
 1. anchors are sorted by (rank of the 64-byte prefix, rank of the whole context that
    the strings of that anchor cover); prefixes that occur once are dropped, contexts
