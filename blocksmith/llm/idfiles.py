@@ -29,12 +29,16 @@ from .tokens import default_path, encoder
 
 MAGIC, VERSION = b"BSID", 1
 NULL_ID = -(2**63)
+#: Of a sampled document longer than PARTS * PART bytes of ids, so many parts of so many bytes train the dictionary.
+PARTS, PART = 4, 1 << 14
 
 
-def _serialized(ids: bytes) -> tuple[bytes, int]:
-    """Ids in 2 bytes each if all fit, else in 4."""
-    wide = np.frombuffer(ids, "<u4")
-    return (wide.astype("<u2").tobytes(), 2) if not len(wide) or wide.max() < 65536 else (ids, 4)
+def _serialized(ids: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[memoryview, int]]:
+    """Each document's ids in 2 bytes each if all fit, else in 4, and that width."""
+    wide, fits = memoryview(ids.view(np.uint8)), not len(ids) or int(ids.max()) < 65536
+    narrow = memoryview((ids if fits else ids & np.uint32(0xFFFF)).astype("<u2").view(np.uint8))
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        yield (narrow[2 * a : 2 * b], 2) if fits or not (ids[a:b] > 65535).any() else (wide[4 * a : 4 * b], 4)
 
 
 def train_dictionary(samples: list[bytes], size: int = 1 << 16) -> bytes:
@@ -108,25 +112,38 @@ class IdFileReader:
         return out
 
 
-def _encode(path: str, end: int, dictionary: bytes | None, level: int):
-    """Rows (id, tie, text) to (id, tie, n_tokens, width, frame); without a dictionary frames are plain arrays."""
-    tail = struct.pack("<I", end)
+def _encode(path: str, end: int, dictionary: bytes, level: int):
+    """Rows (id, tie, text) to (id, tie, n_tokens, width, frame)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = encoder(path)
-        codec = None if dictionary is None else zstandard.ZstdCompressor(level=level, dict_data=_codec_dict(dictionary))
+        codec = zstandard.ZstdCompressor(level=level, dict_data=_codec_dict(dictionary))
         for batch in batches:
             for a, b in slices(batch.column(2)):
-                rows = [_serialized(x + tail) for x in known.encode([x or "" for x in batch.column(2).slice(a, b - a).to_pylist()])]
+                ids, bounds = known.encode_ended(batch.column(2).slice(a, b - a), end)
+                frames, widths = zip(*((codec.compress(x), w) for x, w in _serialized(ids, bounds)))
                 yield pa.record_batch(
-                    [
-                        batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a),
-                        pa.array([len(x) // w for x, w in rows], pa.int64()), pa.array([w for _, w in rows], pa.int32()),
-                        pa.array([codec.compress(x) if codec else x for x, _ in rows], pa.binary()),
-                    ],
+                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(np.diff(bounds)), pa.array(widths, pa.int32()), pa.array(frames, pa.binary())],
                     ["id", "tie", "n_tokens", "width", "frame"],
-                )
-        known.shrink()
+                )
+
+    return run
+
+
+def _samples(path: str, end: int):
+    """Texts to samples for the dictionary: PARTS evenly spaced parts of each document's serialized ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = encoder(path)
+        for batch in batches:
+            for a, b in slices(batch.column(0)):
+                out = []
+                for x, _ in _serialized(*known.encode_ended(batch.column(0).slice(a, b - a), end)):
+                    if len(x) <= PARTS * PART:
+                        out.append(x.tobytes())
+                    else:
+                        out += [x[at : at + PART].tobytes() for at in np.linspace(0, len(x) - PART, PARTS).astype(np.int64) // 4 * 4]
+                yield pa.record_batch([pa.array(out, pa.binary())], ["part"])
 
     return run
 
@@ -195,19 +212,21 @@ def write_id_files(
 ) -> IdFiles:
     """Encode every whole text, append ``end``, and write the ids in ascending order of ids.
 
-    The shared dictionary is trained on at most ``sample`` documents of up to 64 KiB,
-    those with the smallest hash of their ids; its bytes lie beside the files and its
-    sha256 in each. Null and empty texts are the end id alone. Null ids come first;
-    rows that share an id are ordered by a hash of their text. An empty table writes
-    no file. Ids must be integers above -2**63. Further columns are ignored.
+    The shared dictionary is trained on at most ``sample`` documents of any length, those
+    with the smallest hash of their ids, at most 64 KiB of each; its bytes lie beside the
+    files and its sha256 in each. Null and empty texts are the end id alone. Null ids
+    come first; rows that share an id are ordered by a hash of their text. An empty
+    table writes no file. Ids must be integers above -2**63. Further columns are ignored.
     """
     spark = docs.sparkSession
     path = path or default_path()
     work = Workspace(spark, "idfiles")
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("tie"), F.col(text_col).cast("string").alias("text"))
-    chosen = source.where("octet_length(text) <= 65536").orderBy(F.xxhash64("id"), "tie").limit(sample)
-    rows = chosen.mapInArrow(_encode(path, end, None, level), ENCODED).select("frame").collect()
-    dictionary = train_dictionary([bytes(r.frame) for r in rows])
+    keys = source.select(F.col("id").alias("_id"), F.col("tie").alias("_tie")).orderBy(F.xxhash64("_id"), "_tie").limit(sample)  # ids and hashes only
+    chosen = source.join(F.broadcast(keys), F.col("id").eqNullSafe(F.col("_id")) & F.col("tie").eqNullSafe(F.col("_tie")), "left_semi")
+    chosen = chosen.dropDuplicates(["id", "tie"]).select("text")
+    rows = work.table("sample", chosen).mapInArrow(_samples(path, end), "part binary").collect()
+    dictionary = train_dictionary([bytes(r["part"]) for r in rows])
     encoded = work.table("encoded", source.mapInArrow(_encode(path, end, dictionary, level), ENCODED), "none")
 
     files = max(1, -(-encoded.count() // docs_per_file))

@@ -9,7 +9,6 @@ tree over remaining capacities.
 
 from __future__ import annotations
 
-import struct
 import zlib
 from collections.abc import Iterator
 
@@ -80,26 +79,28 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 def _cut(path: str, end: int, capacity: int, keep: bool):
     """Pieces; full ones and remainders are each numbered within the task."""
-    tail = struct.pack("<I", end)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, task = encoder(path), TaskContext.get().partitionId()
-        nth = {True: 0, False: 0}
+        fulls = rests = 0
         for batch in batches:
             for a, b in slices(batch.column(1)):
-                rows = []
-                for doc, ids in zip(batch.column(0).slice(a, b - a).to_pylist(), known.encode([x or "" for x in batch.column(1).slice(a, b - a).to_pylist()])):
-                    ids += tail
-                    total = len(ids) // 4
-                    for start in range(0, total, capacity):
-                        piece = ids[4 * start : 4 * (start + capacity)]
-                        full = len(piece) == 4 * capacity
-                        rows.append((doc, start, len(piece) // 4, zlib.crc32(piece), total, task, nth[full], *([piece] if keep else [])))
-                        nth[full] += 1
-                names = [x.split()[0] for x in PIECES.split(", ")] + ["ids"] * keep
-                kinds = [pa.int64()] * 5 + [pa.int32(), pa.int64()] + [pa.binary()] * keep
-                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names)
-        known.shrink()
+                ids, bounds = known.encode_ended(batch.column(1).slice(a, b - a), end)
+                total = np.diff(bounds)
+                count = -(-total // capacity)
+                row = np.repeat(np.arange(len(total)), count)
+                start = (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)) * capacity
+                length = np.minimum(total[row] - start, capacity)
+                full = length == capacity
+                nth = np.where(full, fulls + np.cumsum(full) - 1, rests + np.cumsum(~full) - 1)
+                fulls, rests = fulls + int(full.sum()), rests + int((~full).sum())
+                raw, at = memoryview(ids.view(np.uint8)), (bounds[:-1][row] + start) * 4
+                parts = [raw[x:y] for x, y in zip(at.tolist(), (at + 4 * length).tolist())]
+                columns = [
+                    batch.column(0).slice(a, b - a).take(pa.array(row)), pa.array(start), pa.array(length), pa.array([zlib.crc32(x) for x in parts], pa.int64()),
+                    pa.array(total[row]), pa.array(np.full(len(row), task, np.int32)), pa.array(nth), *([pa.array(parts, pa.binary())] if keep else []),
+                ]
+                yield pa.record_batch(columns, [x.split()[0] for x in PIECES.split(", ")] + ["ids"] * keep)
 
     return run
 

@@ -272,7 +272,7 @@ def test_shards(docs, rows, nothing, extra):
 def test_encoder_equals_the_library():
     known = Encoder(default_path())
     odd = ["a  b", "a   b", "a \n b", "\n x", "  a", "a ", " a  ", " ", "", "a\n \nb", "it's  's 've x<|endoftext|> y <|endoftext|>", "　 x", "a\t b", "\x00 \x7f \xad a\x85b", "😀 é𝒳 ab12c 3½", *[t or "" for _, t, *_ in texts()]]
-    assert known.encode(odd) == known._direct(odd) and known.by_word
+    assert known.encode(odd) == known._direct(odd) and known.by_piece
 
 
 def test_id_files(docs, rows, nothing, extra):
