@@ -6,9 +6,10 @@ of caching it: the files survive the loss of any executor.
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,30 +26,61 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+#: Held while a table is written: the shuffle files of a query go when it ends, and Arrow batches stay small.
+SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
+@contextmanager
+def _settings(spark: SparkSession) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in SETTINGS}
+    for k, v in SETTINGS.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 class Workspace:
-    """Named Parquet tables under a fresh folder of the shared directory."""
+    """Named Parquet tables under a fresh folder of the shared directory.
+
+    Results are lazy and read these tables, so only the caller knows when they may go:
+    ``clear`` deletes the folders of all workspaces made so far.
+    """
+
+    made: list[Workspace] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        Workspace.made.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def table(self, name: str, df: DataFrame, codec: str = "zstd") -> DataFrame:
         """Write ``df`` and return a scan of what was written."""
-        df.write.option("compression", codec).parquet(self.path(name))
-        self.free()
+        with _settings(self.spark):
+            df.write.option("compression", codec).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(conf).delete(path, True)
+            self._delete(self.path(name))
+
+    def close(self) -> None:
+        self._delete(self.root)
+
+    def _delete(self, path: str) -> None:
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(path)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
 
-    def free(self) -> None:
-        """Let Spark's cleaner remove the shuffle files of plans no longer held."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+def clear(spark: SparkSession, keep: tuple[Workspace, ...] = ()) -> None:
+    """Delete the folders of this session's workspaces but ``keep``; results that still read them can't be used any more."""
+    mine = [x for x in Workspace.made if x.spark is spark and x not in keep]
+    Workspace.made[:] = [x for x in Workspace.made if x not in mine]
+    for work in mine:
+        work.close()

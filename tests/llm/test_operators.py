@@ -156,13 +156,41 @@ def test_segment_boundaries_remove_nothing_unique(spark, monkeypatch):
         assert bytes(row["kept"]).decode() == "".join(c for p, c in enumerate(x) if p not in gone)
 
 
-def test_partial_runs_of_two_texts_are_no_copies():
+def _units_table(spark, rows):
+    return spark.createDataFrame(rows, "rank long, name0 long, id long, lo long, n int, d int")
+
+
+@pytest.mark.parametrize("held", [1, 50_000])
+def test_a_round_ranks_pairs_over_all_tasks(spark, monkeypatch, held):
+    """A hot pair over many tasks, pairs at borders, unique ones."""
     import pyarrow as pa
 
-    data = {"prefix": [5, 5, 5, 5], "context": [8, 8, 9, 9], "id": [1, 18, 3, 4], "lo": [0, 0, 0, 0], "n": [3, 3, 7, 7], "d": [4, 4, 7, 7]}
-    rows = pa.table(data).to_batches()
-    got = [x for b in suffixes._ranked(iter(rows), suffixes.RUN - 1) for x in b.to_pylist()]
-    assert [(x["id"], x["whole"], x["on"]) for x in got] == [(1, False, True), (18, False, True), (3, True, True), (4, True, False)]
+    r = random.Random(8)
+    rows = [(1, 5, i, 0, 0, 0) for i in range(300)] + [(r.randint(0, 3), r.randint(0, 60), 1000 + i, 0, 0, 0) for i in range(200)]
+    pairs = Counter(x[:2] for x in rows)
+    order = {p: i for i, p in enumerate(sorted(pairs))}
+    rounds = suffixes._Rounds(Workspace(spark, "test"), 7)
+    got = rounds.ranked(_units_table(spark, rows)).collect()
+    assert {x["id"]: x["rank"] for x in got} == {x[2]: order[x[:2]] for x in rows if pairs[x[:2]] > 1}
+    monkeypatch.setattr(suffixes, "HELD", held)
+    whole, on = set(), set()
+    batches = pa.Table.from_pylist([dict(zip(("rank", "name0", "id", "lo", "n", "d"), x)) for x in sorted(rows)])
+    batches = batches.set_column(4, "n", batches["n"].cast(pa.int32())).set_column(5, "d", batches["d"].cast(pa.int32()))
+    monkeypatch.setattr(suffixes.TaskContext, "get", classmethod(lambda cls: type("T", (), {"partitionId": lambda self: 0})()))
+    for b in suffixes._marked(True, 0)(iter(batches.to_batches(max_chunksize=13))):
+        for x in b.to_pylist():
+            if x["nth"] >= 0:
+                whole |= {x["id"]} if x["many"] else set()
+                on |= {(x["rank"], x["name0"])} if x["on"] else set()
+    assert whole == {x[2] for x in rows if pairs[x[:2]] > 1}
+    assert on >= {p for p in pairs if sum(q[0] == p[0] for q in pairs) > 1}
+
+
+def test_partial_runs_of_two_texts_are_no_copies(spark):
+    rows = [(5, 8, 1, 0, 3, 4), (5, 8, 18, 0, 3, 4), (5, 9, 3, 0, 7, 7), (5, 9, 4, 0, 7, 7)]
+    got = suffixes._Rounds(Workspace(spark, "test"), 1).ranked(_units_table(spark, rows), settle=True, least=suffixes.RUN - 1).collect()
+    got = sorted((x["id"], x["many"], x["on"]) for x in got)
+    assert [x[:2] for x in got] == [(1, False), (3, True), (4, True), (18, False)] and {x[0] for x in got if x[2]} >= {1, 18, 3}
 
 
 def test_decontamination(spark, docs, rows, nothing, extra):
