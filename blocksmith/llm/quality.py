@@ -7,6 +7,10 @@ the vectors nearest to the current estimate, three quarters of the group, give t
 next one; the start that ends with the least determinant counts. A text whose
 Mahalanobis distance passes the cutoff is rejected.
 
+A covariance is shrunk towards that of its language, and that towards the one of all
+texts: with n vectors it is (n * own + PRIOR * wider) / (n + PRIOR), about the group's own
+mean. So there is no least size of a group; a small one has the shape of its language.
+
 Vectors are rounded to integers, so that all sums are exact and do not depend on the
 order in which tasks end. A step is one pass that sums moments by group and distance
 bin, and a running sum over the bins of a group.
@@ -29,8 +33,8 @@ SCALE = 256
 #: Each can pass the cutoff alone: in a group without any, 20 % of words in repeats do, and 29 % of equal lines.
 FLOORS = (1.0, 0.15, 0.5, 0.6, 0.67)
 DIMS = len(FLOORS)
-#: Share of a group that an estimate rests on, steps from each start, documents that a group needs.
-SHARE, STEPS, LEAST = 0.75, 3, 60
+#: Share of a group that an estimate rests on, steps from each start, vectors that the wider group's covariance counts as.
+SHARE, STEPS, PRIOR = 0.75, 3, 50
 #: Groups up to which estimates are broadcast.
 MOST_BROADCAST = 20_000
 
@@ -112,12 +116,19 @@ def _moments(values: list[Column]) -> list[Column]:
     return [F.count("*").alias("n"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(values)], *[F.sum(values[i] * values[j]).alias(f"q{i}{j}") for i, j in PAIRS]]
 
 
-def _whitened(sums: DataFrame, unit: float, factor: float, floors: list[Column]) -> DataFrame:
-    """From moments in ``unit``s: means mu, the inverse w of the Cholesky factor of the floored covariance, and its log determinant."""
+MEANS, COVARIANCES = [f"mu{i}" for i in range(DIMS)], [f"c{i}{j}" for i, j in PAIRS]
+
+
+def _estimated(sums: DataFrame, unit: float, factor: float, floors: list[Column]) -> DataFrame:
+    """From moments in ``unit``s: means mu and the floored covariance c, its other entries times ``factor``."""
     n = F.col("n").cast("double")
     out = sums.withColumns({f"mu{i}": F.col(f"s{i}") / n for i in range(DIMS)})
     cov = {f"c{i}{j}": (F.col(f"q{i}{j}") / n - F.col(f"mu{i}") * F.col(f"mu{j}")) * (factor / unit**2) + (floors[i] if i == j else F.lit(0.0)) for i, j in PAIRS}
-    out = out.withColumns(cov).withColumns({f"mu{i}": F.col(f"mu{i}") / unit for i in range(DIMS)})
+    return out.withColumns(cov).withColumns({f"mu{i}": F.col(f"mu{i}") / unit for i in range(DIMS)})
+
+
+def _whitened(out: DataFrame) -> DataFrame:
+    """With the inverse w of the Cholesky factor of the covariance c, and its log determinant."""
     for i in range(DIMS):
         for j in range(i + 1):
             rest = F.col(f"c{i}{j}") - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
@@ -129,7 +140,7 @@ def _whitened(sums: DataFrame, unit: float, factor: float, floors: list[Column])
     return out.withColumn("det", 2 * sum((F.log(f"l{i}{i}") for i in range(DIMS)), F.lit(0.0)))
 
 
-PARAMS = ["g", "start", *[f"mu{i}" for i in range(DIMS)], *[f"w{i}{j}" for i, j in PAIRS], "det"]
+PARAMS = ["g", "start", *MEANS, *[f"w{i}{j}" for i, j in PAIRS], "det"]
 
 
 def _distance() -> Column:
@@ -139,9 +150,9 @@ def _distance() -> Column:
 
 
 def outlier_estimates(rows: DataFrame, work: Workspace) -> DataFrame:
-    """PARAMS by group ``g`` of ``rows`` (g, v0, ...)."""
-    groups = rows.select("g").distinct().count()
-    hint = F.broadcast if groups <= MOST_BROADCAST else (lambda x: x)
+    """Vectors, means and covariances by group: g, n, mu, c of ``rows`` (g, v0, ...)."""
+    sizes = work.table("sizes", rows.groupBy("g").agg(F.count("*").alias("n")))
+    hint = F.broadcast if sizes.count() <= MOST_BROADCAST else (lambda x: x)
     floors = [F.lit(x * x) for x in FLOORS]
     middle = work.table("middle", _medians(rows, [F.col(v) for v in V]))
     spread = work.table("spread", _medians(rows.join(hint(middle), "g"), [F.abs(F.col(v) - F.col(f"m{i}")) for i, v in enumerate(V)]).select("g", *[F.greatest(F.col(f"m{i}") * 1.4826, F.lit(FLOORS[i] * SCALE)).alias(f"d{i}") for i in range(DIMS)]))
@@ -154,7 +165,7 @@ def outlier_estimates(rows: DataFrame, work: Workspace) -> DataFrame:
     starts = []
     for start, scores in ((1, [F.tanh(x) for x in z]), (2, [F.when(norm > 0, x / norm).otherwise(0.0) for x in z])):
         sums = scored.groupBy("g").agg(*_moments([F.round(x * unit).cast("long") for x in scores]))
-        shape = _whitened(sums, unit, 1.0, [F.lit(0.01)] * DIMS).drop(*[f"mu{i}" for i in range(DIMS)]).join(hint(scaled), "g")
+        shape = _whitened(_estimated(sums, unit, 1.0, [F.lit(0.01)] * DIMS)).drop(*[f"mu{i}" for i in range(DIMS)]).join(hint(scaled), "g")
         starts.append(shape.withColumn("start", F.lit(start)).withColumns({f"w{i}{j}": F.col(f"w{i}{j}") * SCALE / F.col(f"d{j}") for i, j in PAIRS}))
     plain = scaled.withColumn("start", F.lit(0)).withColumn("det", F.lit(0.0)).withColumns({f"w{i}{j}": SCALE / F.col(f"d{i}") if i == j else F.lit(0.0) for i, j in PAIRS})
     params = [x.withColumns({f"mu{i}": F.col(f"m{i}") / SCALE for i in range(DIMS)}).select(PARAMS) for x in (plain, *starts)]
@@ -168,8 +179,20 @@ def outlier_estimates(rows: DataFrame, work: Workspace) -> DataFrame:
         key = Window.partitionBy("g", "start")
         bins = bins.withColumn("before", F.coalesce(F.sum("n").over(key.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("all", F.sum("n").over(key))
         sums = bins.where(F.col("before") < F.col("all") * SHARE).groupBy("g", "start").agg(*[F.sum(c).alias(c) for c in ("n", *[f"s{i}" for i in range(DIMS)], *[f"q{i}{j}" for i, j in PAIRS])])
-        params = work.table(f"step{step}", _whitened(sums, SCALE, CONSISTENCY, floors).select(PARAMS))
-    return params
+        params = work.table(f"step{step}", _whitened(_estimated(sums, SCALE, CONSISTENCY, floors)).select(*PARAMS, *COVARIANCES))
+    return params.join(hint(sizes), "g").select("g", "n", *MEANS, *COVARIANCES)
+
+
+def shrunk(estimates: DataFrame, wider: DataFrame, work: Workspace, levels: int) -> DataFrame:
+    """PARAMS of the narrowest groups. ``wider`` (level, g, up): the group that each estimate leans on; levels from 0, the narrowest."""
+    up = estimates.join(wider.where(F.col("level") == levels), "g", "left_semi")
+    for level in range(levels - 1, -1, -1):
+        own = estimates.join(wider.where(F.col("level") == level).select("g", "up"), "g")
+        lean = up.select(F.col("g").alias("up"), *[F.col(x).alias(f"up_{x}") for x in COVARIANCES])
+        blended = [((F.col("n") * F.col(x) + PRIOR * F.col(f"up_{x}")) / (F.col("n") + PRIOR)).alias(x) for x in COVARIANCES]
+        up = own.join(lean, "up").select("g", "n", *MEANS, *blended)
+        up = work.table(f"level{level}", up)
+    return _whitened(up.withColumn("start", F.lit(0))).select(PARAMS)
 
 
 def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by: tuple[str, ...] = ("lang", "source"), cutoff: float = CUTOFF) -> DataFrame:
@@ -177,10 +200,9 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Base rules reject texts of fewer than 50 words and texts with over half of their
     words in repeated three-word windows. The others are judged by squared
-    Mahalanobis distance from the robust estimate of their group; a group of fewer
-    than LEAST such documents is judged by the estimate of all that share its first
-    ``by`` columns, one column less at a time until there are LEAST, at last by that of
-    all documents. Nulls in the ``by`` columns are a
+    Mahalanobis distance from the robust estimate of their group, the rows alike in all
+    ``by`` columns; its covariance is shrunk towards that of the rows alike in one column
+    less, at last towards that of all. Nulls in the ``by`` columns are a
     value like others; null texts have no words. Deviations below FLOORS are never
     held against a text. Ids are only carried; rows may repeat. An empty table gives
     no rows. Further columns are ignored.
@@ -191,15 +213,11 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     counts = _vectors(text_counts(base, "_text").drop("_text")).withColumn("base_failed", failed).withColumn("own", F.col("keys")[0])
     counts = work.table("counts", counts)
-    sizes = counts.groupBy("own", "keys").agg(F.count_if(~F.col("base_failed")).alias("c")).select("own", "c", F.posexplode("keys").alias("level", "key"))
-    sizes = work.table("sizes", sizes)
-    large = sizes.groupBy("key").agg(F.sum("c").alias("c")).where(f"c >= {LEAST} or key = ''").select("key")
-    judges = work.table("judges", sizes.join(large, "key").groupBy("own").agg(F.min_by("key", "level").alias("g")))
-    members = work.table("members", sizes.select("own", F.col("key").alias("g")).join(judges.select("g").distinct(), "g"))
-    few = members.count() <= MOST_BROADCAST
-    hint = F.broadcast if few else (lambda x: x)
-    grouped = counts.join(hint(judges), "own")
-    params = outlier_estimates(counts.where("not base_failed").join(hint(members), "own").select("g", *V), work)
-    judged = grouped.join(F.broadcast(params) if few else params, "g", "left").withColumn("distance", _distance())
+    wider = counts.select("keys").distinct().select(F.posexplode("keys").alias("level", "g"), "keys")
+    wider = work.table("wider", wider.select("level", "g", F.get("keys", F.col("level") + 1).alias("up")).distinct())
+    hint = F.broadcast if wider.count() <= MOST_BROADCAST else (lambda x: x)
+    estimates = outlier_estimates(counts.where("not base_failed").select(F.explode("keys").alias("g"), *V), work)
+    params = work.table("params", shrunk(work.table("estimates", estimates), wider, work, len(by)))
+    judged = counts.join(hint(params.withColumnRenamed("g", "own")), "own", "left").withColumn("distance", _distance())
     columns = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance"]
     return judged.select(F.col("id").alias(id_col), *columns, (~F.col("base_failed") & (F.col("distance") <= cutoff)).alias("kept"))
