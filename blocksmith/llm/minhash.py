@@ -7,12 +7,13 @@ the leading-zero count of its smallest hash and the mantissa bits that follow, i
 Representatives that share a band are compared with one of them (the hub of the
 band); links are estimated from the registers with a correction for chance
 collisions, and those that could reach the threshold are confirmed on the full
-sets. Where a band still holds several components after that, its members are
-compared in blocks: first along a spanning tree of the best estimates, then, where
-components remain apart, for every pair of different components that could link, in
-the first band that the two share. Short texts also carry 16 bits of each hash, which
-bound the intersection from above. So no candidate link is lost, and copies of one
-text don't give all their pairs.
+sets. Where a band still holds several components after that, members of different
+components are compared in blocks, twice: first along a spanning tree of the best
+estimates, then to mark members that could link to another component at all. Pairs of
+marked members come from the shingles: two sets that reach the threshold share one of
+their rarest, so members that have only common shingles in common, such as texts from one
+template, give no pairs. So no candidate link is lost, and neither copies of one text nor
+texts just under the threshold give all their pairs.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -251,32 +252,44 @@ def _confirmer(percent: int):
     return run
 
 
-def _crosser(percent: int, tree: bool):
-    """Within a block of a band: pairs of different components that may link; with ``tree`` only a spanning forest of the best estimates."""
+def _crosser(percent: int, mode: str):
+    """Within a block of a group (``key``): pairs (a, b) of different components that may link, of sides 0 and 1, or of side 2 with itself.
+
+    ``tree``: only a spanning forest of the best estimates. ``members``: each member that
+    has such a pair, as (member, member). ``pairs``: all of them that share a band and
+    whose smaller set has the group's shingle in ``front``.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         rep, label, n, side = (np.asarray(table.column(c).combine_chunks()) for c in ("rep", "label", "n", "side"))
         regs = _matrix(table.column("regs").combine_chunks())
-        keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.int64).reshape(len(rep), -1)
         low = [np.frombuffer(x, np.uint16) for x in table.column("low").to_pylist()]
-        band = int(np.flatnonzero(keys[0] == table.column("key")[0].as_py())[0])
-        left = np.flatnonzero(side != 1)
-        right = np.flatnonzero(side != 0)
+        keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.int64).reshape(len(rep), -1) if mode == "pairs" else None
+        front = table.column("front").combine_chunks().to_numpy(zero_copy_only=False)
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        marked = np.zeros(len(rep), bool)
         a, b, score = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-        for i in left:
+        for i in left.tolist():
             j = right[(label[right] != label[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
-            if not tree and len(j):
-                j = j[~(keys[j, :band] == keys[i, :band]).any(1)]
+            if mode == "members" and marked[i]:
+                j = j[~marked[j]]
+            if mode == "pairs" and len(j):
+                j = j[(front[i] & (n[i] <= n[j]) | front[j] & (n[j] <= n[i])) & (keys[j] == keys[i]).any(1)]
             if len(j):
                 j = j[may_link(regs[j], regs[i][None], n[j], n[i], percent)]
-            if not tree and len(low[i]):
+            if mode != "tree" and len(low[i]):
                 j = np.array([x for x in j.tolist() if not len(low[x]) or (100 + percent) * _common(low[i], low[x]) >= percent * (n[i] + n[x])], np.int64)
             if len(j):
-                a.append(np.full(len(j), i))
-                b.append(j)
-                score.append(estimate(regs[j], regs[i][None])[0])
-        a, b = np.concatenate(a), np.concatenate(b)
-        if tree:
+                marked[i] = marked[j] = True
+                if mode != "members":
+                    a.append(np.full(len(j), i))
+                    b.append(j)
+                    score.append(estimate(regs[j], regs[i][None])[0] if mode == "tree" else np.zeros(len(j)))
+        if mode == "members":
+            a = b = np.flatnonzero(marked)
+        else:
+            a, b = np.concatenate(a), np.concatenate(b)
+        if mode == "tree":
             up = {x: x for x in label.tolist()}
             chosen = []
             for k in np.argsort(-np.concatenate(score), kind="stable").tolist():
@@ -294,6 +307,22 @@ def _crosser(percent: int, tree: bool):
     return run
 
 
+def _token_rows(k: int):
+    """Rows (rep, text, n, label) to a row for each shingle of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in slices(batch.column(1)):
+                sets = shingle_sets(batch.column(1).slice(a, b - a), k)
+                row = np.repeat(np.arange(a, b), [len(x) for x in sets])
+                hashes = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
+                for at in range(0, len(row), 1 << 17):
+                    own = pa.array(row[at : at + (1 << 17)])
+                    yield pa.record_batch([batch.column(0).take(own), pa.array(hashes[at : at + (1 << 17)]), batch.column(2).take(own), batch.column(3).take(own)], ["rep", "h", "n", "label"])
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id, kept.
 
@@ -325,14 +354,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     pairs = work.table("pairs", pairs)
     links = _confirmed(pairs, source, reps, work, k, percent, "1", check=True)
 
-    tested, step = pairs, 1
     members = work.table("members", stars.select("key", "rep", "n").distinct())
-    for tree in (True, False):
-        step += 1
-        crossed = _crossed(members, components(links, work, f"c{step}"), reps, work, percent, tree, step)
-        crossed = work.table(f"crossed{step}", crossed.join(tested, ["a", "b"], "left_anti"))
-        links = links.unionByName(_confirmed(crossed, source, reps, work, k, percent, str(step), check=False))
-        tested = tested.unionByName(crossed)
+    work.drop("stars")
+    labels = components(links, work, "c1")
+    crossed = work.table("tree", _crossed(_labelled(members, labels), reps, work, percent, "tree").join(pairs, ["a", "b"], "left_anti"))
+    links = links.unionByName(_confirmed(crossed, source, reps, work, k, percent, "2", check=False))
+    labels = components(links, work, "c2")
+    marked = work.table("marked", _crossed(_labelled(members, labels), reps, work, percent, "members").select(F.col("a").alias("rep")))
+    posts = _rare(_labelled(marked.join(reps.select("rep", "n"), "rep"), labels), source, work, k, percent)
+    crossed = work.table("rare", _crossed(posts, reps, work, percent, "pairs").join(pairs.unionByName(crossed), ["a", "b"], "left_anti"))
+    links = links.unionByName(_confirmed(crossed, source, reps, work, k, percent, "3", check=False))
 
     final = components(links, work, "last")
     reach = work.table("reach", reps.select("d1", "d2", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("label", "rep").alias("root")))
@@ -341,20 +372,56 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
-def _crossed(members: DataFrame, labels: DataFrame, reps: DataFrame, work: Workspace, percent: int, tree: bool, step: int) -> DataFrame:
-    """Pairs of representatives that share a band, lie in different components and may link."""
-    placed = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("label", "rep").alias("label"))
-    placed = work.table(f"placed{step}", placed)
-    apart = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("key", "size")
-    apart = work.table(f"apart{step}", apart)
-    inside = placed.join(apart, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    inside = inside.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    inside = inside.select(
-        "key", "rep", "n", "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-        F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
-    )
-    pairs = inside.join(reps.select("rep", "regs", "low", "keys"), "rep").groupBy("key", "i", "j").applyInArrow(_crosser(percent, tree), "a long, b long")
-    return work.table(f"cross{step}", pairs.distinct())
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """``members`` with the label of their component, their own where nothing is linked."""
+    return members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+
+
+def _rare(marked: DataFrame, source: DataFrame, work: Workspace, k: int, percent: int) -> DataFrame:
+    """(key, rep, n, label, front): for each marked member those of its rarest shingles that another component has too.
+
+    Shingles are ordered by how many members have them, those of one member first. If two
+    sets reach the threshold t, the first shingle that they share is one of the first
+    n - ceil(t * n) + 1 of either, and in the smaller set it is in ``front``, one of the
+    first n - ceil(2 * t / (1 + t) * n) + 1. Shingles in front of none are left out.
+    """
+    texts = source.join(marked.withColumnRenamed("rep", "id"), "id").dropDuplicates(["id"]).select("id", "text", "n", "label")
+    tokens = work.table("tokens", texts.mapInArrow(_token_rows(k), "rep long, h long, n long, label long"))
+    shared = tokens.groupBy("h").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("c > 1").select("h", "c", (F.col("lo") < F.col("hi")).alias("wide"))
+    own = Window.partitionBy("rep")
+    ranked = tokens.join(shared, "h").withColumn("at", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("c", "h")))
+    near = F.expr(f"at <= n - (n * {percent} + 99) div 100 + 1")
+    front = F.expr(f"at <= n - (2 * n * {percent} + {99 + percent}) div {100 + percent} + 1")
+    posts = work.table("ranked", ranked.where(F.col("wide") & near).select(F.col("h").alias("key"), "rep", "n", "label", front.alias("front")))
+    work.drop("tokens")
+    good = posts.groupBy("key").agg(F.bool_or("front").alias("any"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("any and lo < hi")
+    return work.table("posts", posts.join(good.select("key"), "key", "left_semi"))
+
+
+def _crossed(members: DataFrame, reps: DataFrame, work: Workspace, percent: int, mode: str) -> DataFrame:
+    """What ``_crosser`` finds in groups of ``members`` (key, rep, n, label, and front for pairs) that hold several components.
+
+    A group's members of its largest component are compared with its other members, and
+    those with each other, in blocks of BLOCK; blocks of the largest component never meet.
+    """
+    placed = members if "front" in members.columns else members.withColumn("front", F.lit(True))
+    placed = work.table(f"placed-{mode}", placed.select("key", "rep", "n", "label", "front"))
+    sizes = placed.groupBy("key", "label").agg(F.count("*").alias("c"))
+    sizes = sizes.groupBy("key").agg(F.count("*").alias("labels"), F.sum("c").alias("size"), F.max(F.struct("c", "label")).alias("top")).where("labels > 1")
+    sizes = work.table(f"apart-{mode}", sizes.select("key", F.col("top.label").alias("top"), F.ceil(F.col("top.c") / BLOCK).cast("int").alias("tops"), F.ceil((F.col("size") - F.col("top.c")) / BLOCK).cast("int").alias("others")))
+    inside = placed.join(sizes, "key").withColumn("is_top", F.col("label") == F.col("top"))
+    inside = inside.withColumn("own", F.pmod(F.xxhash64("rep"), F.when(F.col("is_top"), F.col("tops")).otherwise(F.col("others"))).cast("int"))
+    to_others = F.sequence(F.lit(0), F.col("others") - 1)
+    met = F.when(F.col("is_top"), F.transform(to_others, lambda x: F.struct(x.alias("i"), (F.lit(-1) - F.col("own")).alias("j"), F.lit(1).alias("side"))))
+    met = met.otherwise(
+        F.concat(
+            F.transform(F.sequence(F.lit(0), F.col("tops") - 1), lambda x: F.struct(F.col("own").alias("i"), (F.lit(-1) - x).alias("j"), F.lit(0).alias("side"))),
+            F.transform(to_others, lambda x: F.struct(F.least("own", x).alias("i"), F.greatest("own", x).alias("j"), F.when(x == F.col("own"), 2).when(F.col("own") < x, 0).otherwise(1).alias("side"))),
+        )
+    )
+    inside = inside.select("key", "rep", "n", "label", "front", F.inline(met))
+    pairs = inside.join(reps.select("rep", "regs", "low", "keys"), "rep").groupBy("key", "i", "j").applyInArrow(_crosser(percent, mode), "a long, b long")
+    return work.table(f"cross-{mode}", pairs.distinct())
 
 
 def _confirmed(pairs: DataFrame, source: DataFrame, reps: DataFrame, work: Workspace, k: int, percent: int, name: str, check: bool) -> DataFrame:

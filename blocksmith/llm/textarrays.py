@@ -45,7 +45,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def slices(column: pa.Array | pa.ChunkedArray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+#: Bytes of text that are handled at once.
+MOST = 1 << 20
+
+
+def slices(column: pa.Array | pa.ChunkedArray, most: int = MOST) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``most`` text bytes, or of one longer text."""
     if len(column) == 0:
         return
@@ -59,6 +63,25 @@ def slices(column: pa.Array | pa.ChunkedArray, most: int = 1 << 20) -> Iterator[
         start = stop
 
 
+def segments(column: pa.Array, most: int | None = None) -> Iterator[pa.Array]:
+    """The column itself, or, of one text much longer than ``most`` bytes, arrays of one part each, cut before separators."""
+    most = most or MOST
+    data, offsets = flat(column) if len(column) == 1 else (None, None)
+    if data is None or len(data) <= 2 * most:
+        yield column
+        return
+    at = 0
+    while at < len(data):
+        stop = min(at + most, len(data))
+        while stop < len(data):  # on to the next separator
+            found = np.flatnonzero(SPACE[data[stop : stop + most]])
+            stop = stop + int(found[0]) if len(found) else min(stop + most, len(data))
+            if len(found):
+                break
+        yield pa.array([data[at:stop].tobytes()], pa.large_binary())
+        at = stop
+
+
 def flat(column: pa.Array, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts (null: empty), each followed by ``end``, and the n + 1 offsets."""
     if isinstance(column, pa.ChunkedArray):
@@ -93,10 +116,19 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * powers(len(data), "down")[starts])
 
 
+def hashed_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, A-Z lowered, and the n + 1 bounds of the documents' words; a long text in segments."""
+    hashes, counts = [], None
+    for part in segments(column):
+        data, starts, ends, bounds = words(part)
+        hashes.append(word_hashes(data, starts, ends))
+        counts = np.diff(bounds) + (0 if counts is None else counts)
+    return np.concatenate(hashes), np.append(0, np.cumsum(counts))
+
+
 def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
     """For each text its sorted distinct hashes of k successive words, or of all its words if fewer."""
-    data, starts, ends, bounds = words(column)
-    hashes = word_hashes(data, starts, ends)
+    hashes, bounds = hashed_words(column)
     n = len(hashes)
     rolled = np.zeros(max(0, n - k + 1), np.uint64)
     for j in range(k if n >= k else 0):

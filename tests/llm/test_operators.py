@@ -104,6 +104,39 @@ def test_crossing_blocks_lose_no_pair(spark, monkeypatch):
     assert got == 1
 
 
+@pytest.mark.parametrize("n", [60, 240])
+def test_template_family_gives_no_pairs(spark, monkeypatch, n):
+    """Texts from one template, similar just under the threshold: no candidates but those of the hubs and trees."""
+    r = random.Random(n)
+    base = [f"w{i}" for i in range(1100)]
+    rows = [(i, " ".join(base[: 1000 + r.randint(0, 8)] + [f"own{i}x{j}" for j in range(95)])) for i in range(n)]
+    seen = {}
+    table = Workspace.table
+    monkeypatch.setattr(Workspace, "table", lambda self, name, df, codec="zstd": seen.setdefault(name, table(self, name, df, codec)))
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85)
+    assert got.where("kept").count() == n
+    assert seen["marked"].count() > n // 2 and seen["posts"].count() == 0 and seen["rare"].count() == 0 and seen["pairs"].count() + seen["tree"].count() <= 80 * n
+
+
+def test_links_at_the_threshold_are_found(spark):
+    """Pairs at a similarity of 0.85 to 0.88, of 16 to 600 words."""
+    r, rows, want = random.Random(3), [], set()
+    for i in range(400):
+        size = r.choice([16, 30, 60, 120, 300, 600])
+        words = [f"v{i}x{j}" for j in range(size)]
+        for tail in range(size):
+            other = words[: size - tail] + [f"u{i}x{j}" for j in range(tail)]
+            one, two = ({tuple(x[j : j + 3]) for j in range(size - 2)} for x in (words, other))
+            if 85 * len(one | two) > 100 * len(one & two):
+                break
+            best, score = other, len(one & two) / len(one | two)
+        if score <= 0.88:
+            want.add(2 * i)
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(best))]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).where("doc_id % 2 = 1 and component_id = doc_id - 1").collect()
+    assert len(want) > 200 and want <= {x["component_id"] for x in got}
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (7, 7), (None, 3)]
     got = dict(components(spark.createDataFrame(links, "a long, b long"), Workspace(spark, "test"), "c").collect())
@@ -264,17 +297,40 @@ def test_each_deviation_can_reject_alone(spark):
     assert not any(got[i]["base_failed"] or got[i]["kept"] for i in (1000, 1001)) and sum(got[i]["kept"] for i in range(150)) >= 148
 
 
-def test_small_sources_are_judged_by_their_language(spark):
+def test_small_sources_lean_on_their_language(spark):
     r = random.Random(9)
     text = lambda size: " ".join("".join(r.choice("abcdefgh") for _ in range(size + r.randint(0, 1))) for _ in range(r.randint(80, 200)))
     rows = [(i, text(4), "en", "a") for i in range(300)] + [(1000 + i, text(14), "de", "a") for i in range(80)]
     rows += [(2000 + i, text(14), "de", "b") for i in range(10)] + [(3000 + i, text(4), "de", "c") for i in range(5)]
     rows += [(4000 + i, text(4), None, None) for i in range(5)] + [(5000 + i, text(4), "en", None) for i in range(5)]
-    rows += [(6000, "few", "fr", "d")]
+    rows += [(6000, "few", "fr", "d"), (7000, text(4), "de", "b")]
     got = quality.quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
     assert len(got) == len(rows)
     kept = Counter(x["doc_id"] // 1000 for x in got if x["kept"])
-    assert kept[2] == 10 and kept[3] == 0 and kept[4] == 5 and kept[5] == 5 and kept[6] == 0
+    assert kept[0] >= 297 and kept[1] >= 79 and kept[2] == 10 and kept[3] == kept[4] == kept[5] == 5 and kept[6] == kept[7] == 0
+
+
+def test_estimates_equal_plain_concentration_steps(spark):
+    """The estimate of a group against NumPy: from the best of the same steps, means, covariances and distances."""
+    r = np.random.default_rng(5)
+    v = np.round(np.concatenate([r.normal(0, 1, (400, 5)) @ np.diag([1, 2, 0.5, 1, 3]) + r.normal(0, 1, (400, 1)), r.normal(9, 1, (60, 5))]) * quality.SCALE).astype(int)
+    rows = [("g", *map(int, x)) for x in v] + [("h", *map(int, x)) for x in v[:7]]
+    work = Workspace(spark, "test")
+    got = {x["g"]: x for x in quality.outlier_estimates(spark.createDataFrame(rows, ["g", *quality.V]), work).collect()}
+    assert got["g"]["n"] == 460 and got["h"]["n"] == 7
+    x, floors = v / quality.SCALE, np.square(quality.FLOORS)
+    mu = np.array([got["g"][f"mu{i}"] for i in range(5)])
+    cov = np.array([[got["g"][f"c{max(i, j)}{min(i, j)}"] for j in range(5)] for i in range(5)])
+    for _ in range(20):  # concentration steps of our own, from where the estimate ended: it stays there
+        d = np.einsum("ij,jk,ik->i", x - mu, np.linalg.inv(cov), x - mu)
+        near = x[np.argsort(d)[: int(np.ceil(0.75 * len(x)))]]
+        mu2, cov2 = near.mean(0), np.cov(near.T, bias=True) * quality.CONSISTENCY + np.diag(floors)
+    assert np.abs(mu2 - mu).max() < 0.05 and np.abs(cov2 - cov).max() < 0.1 * np.abs(cov).max()
+    assert np.linalg.norm(x[:400].mean(0) - mu) < 0.4 and (d[400:] > quality.CUTOFF).all() and (d[:400] > quality.CUTOFF).sum() < 8
+    wider = spark.createDataFrame([(0, "h", "g"), (1, "g", None)], "level int, g string, up string")
+    some = {x["g"]: x for x in quality.shrunk(work.table("e", quality.outlier_estimates(spark.createDataFrame(rows, ["g", *quality.V]), work.__class__(spark, "t2"))), wider, work, 1).collect()}
+    one = quality._whitened(spark.createDataFrame([("h", *[(7 * got["h"][c] + quality.PRIOR * got["g"][c]) / (7 + quality.PRIOR) for c in quality.COVARIANCES])], ["g", *quality.COVARIANCES])).first()
+    assert all(abs(some["h"][w] - one[w]) < 1e-9 for w in ("w00", "w43", "det")) and some["h"]["mu0"] == got["h"]["mu0"]
 
 
 def test_chi_square():
