@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +41,10 @@ BANDED = 256
 CHANCE = 0.36 * 2.0**-MANTISSA
 #: Hashes of a set up to which 16 bits of each are kept.
 SHORT = 512
-#: Members of a band that are compared with each other in one task.
-BLOCK = 512
+#: Buckets that an empty one looks at one by one; a set with fewer full ones ranks them instead.
+TRIES = 16
+#: Members of a block of a band; pairs of members that are looked at at once.
+BLOCK, PAIRS = 512, 1 << 16
 
 
 def bands_for(percent: int) -> tuple[int, int]:
@@ -56,6 +59,12 @@ def _fill_order() -> np.ndarray:
     return np.stack([np.random.Generator(np.random.PCG64(7919 + i)).permutation(M) for i in range(M)]).astype(np.int16)
 
 
+@cache
+def _fill_ranks() -> np.ndarray:
+    """Where each bucket stands in the orders of the others."""
+    return np.argsort(_fill_order(), 1).astype(np.int16)
+
+
 def registers(sets: list[np.ndarray]) -> np.ndarray:
     """uint8 registers (len(sets), M); EMPTY where a bucket is empty."""
     out = np.full((len(sets), M), EMPTY, np.uint8)
@@ -73,15 +82,23 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def filled(regs: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Registers in which each empty bucket has the value of the first full one in its order."""
+def filled(regs: np.ndarray, order: np.ndarray, count: int = M) -> np.ndarray:
+    """The first ``count`` registers, in which each empty bucket has the value of the first full one in its order."""
     full = regs != EMPTY
-    out = regs.copy()
-    for i in np.flatnonzero(~full.all(1) & full.any(1)):
-        empty = np.flatnonzero(~full[i])
-        seek = order[empty]
-        first = full[i][seek].argmax(1)
-        out[i, empty] = regs[i, seek[np.arange(len(empty)), first]]
+    out = regs[:, :count].copy()
+    row, bucket = np.nonzero(~full[:, :count] & full.any(1)[:, None])
+    for k in range(TRIES):
+        if not len(row):
+            return out
+        seek = order[bucket, k]
+        hit = full[row, seek]
+        out[row[hit], bucket[hit]] = regs[row[hit], seek[hit]]
+        row, bucket = row[~hit], bucket[~hit]
+    ranks = _fill_ranks() if len(row) else None
+    edges = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else []
+    for a, b in zip(edges, [*edges[1:], len(row)]):
+        some = np.flatnonzero(full[row[a]])
+        out[row[a], bucket[a:b]] = regs[row[a], some[ranks[bucket[a:b]][:, some].argmin(1)]]
     return out
 
 
@@ -119,17 +136,23 @@ def _low(one: np.ndarray) -> bytes:
     return np.sort((one & U64(0xFFFF)).astype(np.uint16)).tobytes() if len(one) <= SHORT else b""
 
 
-def _common(a: np.ndarray, b: np.ndarray) -> int:
-    """Intersection of two sorted multisets."""
-    values, counts = np.unique(a, return_counts=True)
-    others, more = np.unique(b, return_counts=True)
+def _common(a: bytes, b: bytes) -> int:
+    """Intersection of two sorted multisets of 16-bit integers."""
+    values, counts = np.unique(np.frombuffer(a, np.uint16), return_counts=True)
+    others, more = np.unique(np.frombuffer(b, np.uint16), return_counts=True)
     at = np.searchsorted(others, values).clip(max=len(others) - 1)
     return int(np.minimum(counts, more[at])[others[at] == values].sum())
 
 
+def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers repeated by their counts, and 0, 1, ... within each row."""
+    row = np.repeat(np.arange(len(counts)), counts)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
 def _band_keys(regs: np.ndarray, order: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """uint64 keys (len(regs), bands)."""
-    regs = filled(regs, order)[:, : bands * rows].astype(np.uint64).reshape(len(regs), bands, rows)
+    regs = filled(regs, order, bands * rows).astype(np.uint64).reshape(len(regs), bands, rows)
     keys = np.full((len(regs), bands), 1, np.uint64) * np.arange(1, bands + 1, dtype=np.uint64)
     for j in range(rows):
         keys = mix(keys * U64(0xD6E8FEB86659FD93) + regs[:, :, j] + U64(1))
@@ -252,57 +275,104 @@ def _confirmer(percent: int):
     return run
 
 
+def _whole_groups(batches: Iterator[pa.RecordBatch], columns: list[str], least: int = 2048) -> Iterator[pa.RecordBatch]:
+    """Sorted batches again, cut where ``columns`` change; a group has a bounded number of rows."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += len(batch)
+        if size >= least:
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            last = np.ones(size, bool)
+            for c in columns:
+                x = np.asarray(whole.column(c))
+                last &= x == x[-1]
+            cut = int(last.argmax())
+            if cut:
+                yield whole.slice(0, cut)
+            held, size = [whole.slice(cut)], size - cut
+    if size:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _forest(a: np.ndarray, b: np.ndarray, score: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Pairs of a spanning forest of the labels, the best scores first."""
+    up: dict[int, int] = {}
+    chosen = []
+    for k in np.argsort(-score, kind="stable").tolist():
+        x, y = int(label[a[k]]), int(label[b[k]])
+        while (above := up.get(x, x)) != x:
+            up[x] = x = up.get(above, above)
+        while (above := up.get(y, y)) != y:
+            up[y] = y = up.get(above, above)
+        if x != y:
+            up[x] = y
+            chosen.append(k)
+    return np.array(chosen, np.int64)
+
+
 def _crosser(percent: int, mode: str):
-    """Within a block of a group (``key``): pairs (a, b) of different components that may link, of sides 0 and 1, or of side 2 with itself.
+    """Groups (key, i, j), sorted, to pairs (a, b) of different components that may link: of sides 0 and 1, or of side 2 with itself.
 
-    ``tree``: only a spanning forest of the best estimates. ``members``: each member that
-    has such a pair, as (member, member). ``pairs``: all of them that share a band and
+    ``tree``: only a spanning forest of a group's best estimates. ``members``: each member
+    that has such a pair, as (member, member). ``pairs``: all of them that share a band and
     whose smaller set has the group's shingle in ``front``.
     """
 
-    def run(table: pa.Table) -> pa.Table:
-        rep, label, n, side = (np.asarray(table.column(c).combine_chunks()) for c in ("rep", "label", "n", "side"))
-        regs = _matrix(table.column("regs").combine_chunks())
-        low = [np.frombuffer(x, np.uint16) for x in table.column("low").to_pylist()]
-        keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.int64).reshape(len(rep), -1) if mode == "pairs" else None
-        front = table.column("front").combine_chunks().to_numpy(zero_copy_only=False)
-        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        marked = np.zeros(len(rep), bool)
-        a, b, score = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-        for i in left.tolist():
-            j = right[(label[right] != label[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
-            if mode == "members" and marked[i]:
-                j = j[~marked[j]]
-            if mode == "pairs" and len(j):
-                j = j[(front[i] & (n[i] <= n[j]) | front[j] & (n[j] <= n[i])) & (keys[j] == keys[i]).any(1)]
-            if len(j):
-                j = j[may_link(regs[j], regs[i][None], n[j], n[i], percent)]
-            if mode != "tree" and len(low[i]):
-                j = np.array([x for x in j.tolist() if not len(low[x]) or (100 + percent) * _common(low[i], low[x]) >= percent * (n[i] + n[x])], np.int64)
-            if len(j):
-                marked[i] = marked[j] = True
-                if mode != "members":
-                    a.append(np.full(len(j), i))
-                    b.append(j)
-                    score.append(estimate(regs[j], regs[i][None])[0] if mode == "tree" else np.zeros(len(j)))
+    def found(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        rep, label, n, side, key, i, j = (np.asarray(batch.column(c)) for c in ("rep", "label", "n", "side", "key", "i", "j"))
+        regs, low = _matrix(batch.column("regs")), batch.column("low").to_pylist()
+        if mode == "pairs":
+            keys, front = np.frombuffer(b"".join(batch.column("keys").to_pylist()), np.int64).reshape(len(rep), -1), batch.column("front").to_numpy(zero_copy_only=False)
+        new = np.append(True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))
+        group = np.cumsum(new) - 1
+        stop = np.append(np.flatnonzero(new)[1:], len(rep))[group]
+        middle = np.flatnonzero(new)[group] + np.bincount(group, side == 0).astype(np.int64)[group]
+        start = np.where(side == 2, np.arange(len(rep)) + 1, middle)
+        count = np.where(side == 1, 0, stop - start)
+        ends, at, marked = np.cumsum(count), 0, np.zeros(len(rep), bool)
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        while at < len(rep):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+            a, step = _spread(count[at:to])
+            a += at
+            b = start[a] + step
+            good = (label[a] != label[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
+            if mode == "members":
+                good &= ~(marked[a] & marked[b])
+            if mode == "pairs":
+                good &= front[a] & (n[a] <= n[b]) | front[b] & (n[b] <= n[a])
+            a, b = a[good], b[good]
+            for x in range(0, len(a), 4096):
+                c, d = a[x : x + 4096], b[x : x + 4096]
+                good = may_link(regs[c], regs[d], n[c], n[d], percent)
+                c, d = c[good], d[good]
+                if mode == "pairs":
+                    good = (keys[c] == keys[d]).any(1)
+                    c, d = c[good], d[good]
+                if mode != "tree":
+                    good = [not low[u] or not low[v] or (100 + percent) * _common(low[u], low[v]) >= percent * (n[u] + n[v]) for u, v in zip(c.tolist(), d.tolist())]
+                    c, d = c[np.array(good, bool)], d[np.array(good, bool)]
+                marked[c] = marked[d] = True
+                out.append((c, d))
+            at = to
         if mode == "members":
-            a = b = np.flatnonzero(marked)
-        else:
-            a, b = np.concatenate(a), np.concatenate(b)
-        if mode == "tree":
-            up = {x: x for x in label.tolist()}
-            chosen = []
-            for k in np.argsort(-np.concatenate(score), kind="stable").tolist():
-                x, y = int(label[a[k]]), int(label[b[k]])
-                while up[x] != x:
-                    up[x] = x = up[up[x]]
-                while up[y] != y:
-                    up[y] = y = up[up[y]]
-                if x != y:
-                    up[x] = y
-                    chosen.append(k)
+            return np.flatnonzero(marked), np.flatnonzero(marked)
+        a, b = (np.concatenate(x) for x in zip(*out))
+        if mode == "tree" and len(a):
+            score, order = estimate(regs[a], regs[b])[0] if len(a) <= 4096 else np.concatenate([estimate(regs[a[x : x + 4096]], regs[b[x : x + 4096]])[0] for x in range(0, len(a), 4096)]), np.argsort(group[a], kind="stable")
+            a, b, score = a[order], b[order], score[order]
+            edges = np.flatnonzero(np.append(True, group[a[1:]] != group[a[:-1]]))
+            chosen = np.concatenate([x + _forest(a[x:y], b[x:y], score[x:y], label) for x, y in zip(edges, [*edges[1:], len(a)])])
             a, b = a[chosen], b[chosen]
-        return pa.table({"a": np.minimum(rep[a], rep[b]), "b": np.maximum(rep[a], rep[b])})
+        return a, b
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _whole_groups(batches, ["key", "i", "j"]):
+            rep = np.asarray(batch.column("rep"))
+            a, b = found(batch)
+            yield pa.record_batch([pa.array(np.minimum(rep[a], rep[b])), pa.array(np.maximum(rep[a], rep[b]))], ["a", "b"])
 
     return run
 
@@ -420,8 +490,8 @@ def _crossed(members: DataFrame, reps: DataFrame, work: Workspace, percent: int,
         )
     )
     inside = inside.select("key", "rep", "n", "label", "front", F.inline(met))
-    pairs = inside.join(reps.select("rep", "regs", "low", "keys"), "rep").groupBy("key", "i", "j").applyInArrow(_crosser(percent, mode), "a long, b long")
-    return work.table(f"cross-{mode}", pairs.distinct())
+    dealt = inside.join(reps.select("rep", "regs", "low", "keys"), "rep").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
+    return work.table(f"cross-{mode}", dealt.mapInArrow(_crosser(percent, mode), "a long, b long").distinct())
 
 
 def _confirmed(pairs: DataFrame, source: DataFrame, reps: DataFrame, work: Workspace, k: int, percent: int, name: str, check: bool) -> DataFrame:
