@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes between words, before A-Z are lowered: all of ASCII but digits and letters.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Windows up to which the benchmark's are broadcast; beyond, both sides are shuffled.
-MOST_BROADCAST = 1_000_000
+#: Pairs of window and item up to which the benchmark's are broadcast (some 200 bytes each); beyond, both sides are shuffled.
+MOST_BROADCAST = 250_000
 
 
 def word_hashes(text: Column) -> Column:
@@ -43,14 +43,16 @@ def benchmark_hits(
     window; n_hit counts document words inside any. Contaminated: at least
     ``least_items`` items.
 
-    Windows are found by hash and confirmed word for word. Null and empty texts have
-    no words; items without words or with a null id are ignored. Rows equal in id and
-    text are one document and give one row; a null id is an id like others. Empty
+    Windows are found by hash and confirmed word for word. Few windows are broadcast, and
+    found and confirmed in one pass over the texts. Beyond MOST_BROADCAST the places of
+    all windows of the texts, without the words, are joined with the benchmark's, and only
+    texts with a place found are read again to confirm it. Null and empty texts have
+    no words; items without words or with a null id are ignored. Rows that repeat an id and
+    its text each give a row, all alike; a null id is an id like others. Empty
     tables give no rows or no hits. Further columns are ignored.
     """
     found = windows(benchmark, size, item_col, item_text_col)
-    sizes = {r["length"]: r["c"] for r in found.groupBy("length").agg(F.count("*").alias("c")).collect()}  # at most ``size`` rows
-    small = sum(sizes.values()) <= MOST_BROADCAST
+    sizes = {r["length"]: r["c"] for r in found.groupBy("length").agg(F.sum(F.size("items")).alias("c")).collect()}  # at most ``size`` rows
     words = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tie"), word_hashes(F.col(text_col)).alias("h")).withColumn("n", F.size("h"))
     shortest = min(sizes, default=size)
     each = words.select("id", "tie", "h", "n", F.explode(F.sequence(F.lit(-1), F.greatest(F.col("n") - shortest, F.lit(-1)))).alias("pos"))
@@ -59,11 +61,22 @@ def benchmark_hits(
         each = each.select("*", F.inline(F.array(*keys))).where("pos + length <= n and pos >= 0 or pos < 0 and length = (%d)" % min(sizes))
     else:
         each = each.select("*", keys[0].getField("length").alias("length"), keys[0].getField("window").alias("window"))
-    side = found.select(F.col("length").alias("wl"), F.col("window").alias("ww"), F.col("words"), F.col("items"))
-    on = (F.col("window") == F.col("ww")) & (F.col("length") == F.col("wl")) & (F.col("pos") >= 0) & (F.slice("h", F.greatest(F.col("pos"), F.lit(0)) + 1, F.col("length")) == F.col("words"))
-    hit = each.join(F.broadcast(side) if small else side, on, "left").where("pos < 0 or wl is not null")
-    hit = hit.select("id", "tie", F.when(F.col("pos") < 0, F.col("n")).alias("n"), F.when(F.col("pos") >= 0, F.struct("pos", F.col("wl").alias("length"))).alias("hit"), "items")
-    rows = hit.groupBy("id", "tie").agg(F.max("n").cast("long").alias("n_words"), F.array_sort(F.collect_set("hit")).alias("hits"), F.collect_set("items").alias("items"))
+    side = found.select(F.col("length").alias("wl"), F.col("window").alias("ww"), "words", "items")
+    same = (F.col("window") == F.col("ww")) & (F.col("length") == F.col("wl"))
+    held = F.slice("h", F.greatest(F.col("pos"), F.lit(0)) + 1, F.col("length")) == F.col("words")
+    hit = F.when(F.col("pos") >= 0, F.struct("pos", F.col("length").alias("length"))).alias("hit")
+    whole = F.when(F.col("pos") < 0, F.col("n")).alias("n")
+    if sum(sizes.values()) <= MOST_BROADCAST:
+        hit = each.join(F.broadcast(side), same & (F.col("pos") >= 0) & held, "left").where("pos < 0 or wl is not null").select("id", "tie", whole, hit, "items")
+    else:
+        places = each.where("pos >= 0").select("id", "tie", "pos", "length", "window").join(side.select("wl", "ww").distinct(), same, "left_semi")
+        places = places.groupBy(F.col("id").alias("_id"), F.col("tie").alias("_tie")).agg(F.collect_set(F.struct("pos", "length", "window")).alias("places"))
+        again = words.join(places, F.col("id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")))
+        again = again.select("id", "tie", "h", F.inline("places")).select("id", "tie", "pos", "length", "window", F.slice("h", F.col("pos") + 1, F.col("length")).alias("held"))
+        again = again.join(side, same & (F.col("held") == F.col("words"))).select("id", "tie", F.lit(None).cast("int").alias("n"), hit, "items")
+        none = again.schema["hit"].dataType.simpleString()
+        hit = words.select("id", "tie", "n", F.lit(None).cast(none).alias("hit"), F.lit(None).cast("array<string>").alias("items")).unionByName(again)
+    rows = hit.groupBy("id", "tie").agg(F.max("n").cast("long").alias("n_words"), F.count("n").cast("int").alias("copies"), F.array_sort(F.collect_set("hit")).alias("hits"), F.collect_set("items").alias("items"))
     rows = rows.withColumn("items", F.array_sort(F.array_distinct(F.flatten("items"))))
     covered = F.aggregate(
         "hits",
@@ -74,6 +87,7 @@ def benchmark_hits(
         lambda s: s["sum"],
     )
     n_items = F.size("items").cast("long")
+    rows = rows.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies"))))
     return rows.select(
         F.col("id").alias(id_col), "tie", "n_words", covered.alias("n_hit"), n_items.alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (n_items >= least_items).alias("contaminated"), "items", "hits",
@@ -81,6 +95,11 @@ def benchmark_hits(
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the contaminated documents; all columns and all other rows stay."""
-    bad = benchmark_hits(docs, benchmark, id_col=id_col, text_col=text_col, **options).where("contaminated").select(F.col(id_col).alias("__hit_id"), F.col("tie").alias("__hit_tie"))
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__hit_id")) & (F.xxhash64(text_col) == F.col("__hit_tie")), "left_anti")
+    """``docs`` without the contaminated documents; all columns, whatever their names, and all other rows stay, repeated ones too."""
+    name = "hit"
+    while name in docs.columns:
+        name += "_"
+    bad = benchmark_hits(docs, benchmark, id_col=id_col, text_col=text_col, **options).where("contaminated")
+    bad = bad.select(F.struct(F.col(id_col).alias("id"), "tie").alias(name)).distinct()
+    same = F.col(id_col).eqNullSafe(F.col(f"{name}.id")) & (F.xxhash64(text_col) == F.col(f"{name}.tie"))
+    return docs.join(bad, same, "left_anti")
