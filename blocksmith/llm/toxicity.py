@@ -14,26 +14,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textarrays import U64, slices, word_hashes, words
+from .textarrays import U64, segments, slices, word_hashes, words
 
 #: Buckets of hashed words (0: padding), as many again for first bytes, embedding size, filter widths, filters of each width.
 BUCKETS, SIZE, WIDTHS, FILTERS = 1 << 16, 8, (1, 2, 3), 4
 #: First bytes of a word that are hashed by themselves.
 HEAD = 4
-#: Most labelled rows that training reads, and bytes of the longest of their texts.
-MOST_ROWS, MOST_BYTES = 6_000, 1 << 16
+#: Most labelled rows that training reads, and bytes of text after which it takes no further row.
+MOST_ROWS, MOST_BYTES = 6_000, 1 << 25
+#: Positive rows that the threshold of all languages counts as in that of one.
+PRIOR = 8
 PAD = max(WIDTHS) - 1
 
 
 def _padded(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets of all words, each text followed by padding; first index and count of each text's windows (1 at least)."""
-    data, starts, ends, bounds = words(column)
-    sizes = U64(BUCKETS - 1)
-    buckets = np.stack([word_hashes(data, starts, ends) % sizes, word_hashes(data, starts, np.minimum(starts + HEAD, ends)) % sizes + U64(BUCKETS)], 1).astype(np.int32) + 1
-    n = np.diff(bounds)
+    sizes, parts, n = U64(BUCKETS - 1), [], 0
+    for part in segments(column):
+        data, starts, ends, bounds = words(part)
+        parts.append(np.stack([word_hashes(data, starts, ends) % sizes, word_hashes(data, starts, np.minimum(starts + HEAD, ends)) % sizes + U64(BUCKETS)], 1).astype(np.int32) + 1)
+        n = n + np.diff(bounds)
+    buckets, bounds = np.concatenate(parts), np.append(0, np.cumsum(n))
     windows = np.maximum(n, 1)
     first = np.cumsum(windows + PAD) - windows - PAD
     ids = np.zeros((int((windows + PAD).sum()), 2), np.int32)
@@ -165,7 +169,11 @@ class ToxicityModel:
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` without the rows that the model rejects, in all their columns; needs no shuffle."""
+    """``docs`` without the rows that the model rejects, in all their columns; needs no shuffle.
+
+    A null text counts as an empty one, repeated rows share their fate, an empty table
+    gives no rows.
+    """
     return docs.mapInArrow(_passing(model, docs.columns.index(text_col), docs.columns.index(lang_col)), docs.schema)
 
 
@@ -194,13 +202,19 @@ def _best_threshold(score: np.ndarray, label: np.ndarray) -> float:
 
 
 def train_toxicity(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", lang_col: str = "lang", key_col: str = "doc_id", most_rows: int = MOST_ROWS) -> ToxicityModel:
-    """Fit on at most ``most_rows`` labelled rows with texts of up to MOST_BYTES, those with the smallest hashes of their key.
+    """Fit on at most ``most_rows`` labelled rows, those with the smallest hashes of their key, of texts of any length.
 
-    Rows with a null label or text are left out. Without rows of both labels the model
-    scores every text alike.
+    Rows are taken in that order until their texts have MOST_BYTES together. Rows with a
+    null label or text are left out. Without rows of both labels the model scores every
+    text alike. The threshold of a language with p positive rows set aside is
+    (p * own + PRIOR * that of all) / (p + PRIOR).
     """
-    rows = labelled.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull() & (F.octet_length(text_col) <= MOST_BYTES))
-    rows = rows.orderBy(F.xxhash64(key_col), F.xxhash64(text_col)).limit(most_rows).select(F.col(text_col), F.col(label_col).cast("int").alias("label"), F.col(lang_col).cast("string").alias("lang"))
+    rows = labelled.select(F.xxhash64(key_col).alias("k"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label"), F.col(lang_col).cast("string").alias("lang"))
+    rows = rows.where("text is not null and label is not null")
+    order = Window.orderBy("k", "t", "bytes").rowsBetween(Window.unboundedPreceding, -1)
+    taken = rows.select("k", "t", F.octet_length("text").alias("bytes")).orderBy("k", "t").limit(most_rows)  # hashes and lengths only
+    taken = taken.withColumn("before", F.coalesce(F.sum("bytes").over(order), F.lit(0))).where(F.col("before") < MOST_BYTES).select("k", "t").distinct()
+    rows = rows.join(F.broadcast(taken), ["k", "t"], "left_semi").dropDuplicates(["k", "t", "label"]).orderBy("k", "t", "label").select("text", "label", "lang")  # at most ``most_rows`` keys
     got = rows.mapInArrow(_bucket_rows, "ids binary, label int, lang string").collect()
     texts = [np.frombuffer(bytes(r.ids), np.int32).reshape(-1, 2) for r in got]
     labels = np.array([r.label for r in got], np.int64)
@@ -230,8 +244,11 @@ def train_toxicity(labelled: DataFrame, text_col: str = "text", label_col: str =
     net.scale, net.shift = a, b
     score = _sigmoid(a * z + b)
     lang = np.array([r.lang or "" for r, h in zip(got, held) if h or not held.any()])
-    by = {str(x): _best_threshold(score[lang == x], t[lang == x]) for x in sorted(set(lang)) if (lang == x).sum() >= 40 and t[lang == x].sum() >= 8}
-    return ToxicityModel(net, _best_threshold(score, t) if t.any() else 0.5, by)
+    every, by = _best_threshold(score, t) if t.any() else 0.5, {}
+    for x in sorted(set(lang)):
+        p = int(t[lang == x].sum())
+        by[str(x)] = (p * _best_threshold(score[lang == x], t[lang == x]) + PRIOR * every) / (p + PRIOR) if p else every
+    return ToxicityModel(net, every, by)
 
 
 def held_out(key: str = "doc_id"):
