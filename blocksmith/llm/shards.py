@@ -42,7 +42,7 @@ def balanced_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", t
     placed = placed.withColumn("r", F.col("rows0") + F.coalesce(F.sum("copies").over(inside), F.lit(0)))
     each = placed.select("id", "size", "crc", "b", "r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("k"))
     middle = (2 * (F.col("b") + F.col("k") * F.col("size")) + F.col("size")).cast("decimal(38,0)")
-    shard = F.least(F.floor(middle * shards / F.lit(2 * total)).cast("int"), F.lit(shards - 1))
+    shard = F.least(F.call_function("div", (middle * shards).cast("decimal(38,0)"), F.lit(2 * total).cast("decimal(38,0)")).cast("int"), F.lit(shards - 1))
     each = work.table("each", each.select("id", "size", "crc", (F.col("r") + F.col("k")).alias("row"), shard.alias("shard")))
     first = each.groupBy("shard").agg(F.min("row").alias("first"))  # one row a shard
     return each.join(F.broadcast(first), "shard").select(
