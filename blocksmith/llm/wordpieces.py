@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textarrays import slices, word_hashes, words
+from .textarrays import segments, slices, word_hashes, words
 
 #: The symbol after the last byte of a word.
 END = 256
@@ -75,9 +75,9 @@ class Automaton:
         """Tokens of each word data[start:end] with END after it; 1, the unknown token, where the vocabulary can't spell it."""
         order = np.argsort(ends - starts, kind="stable")[::-1]
         starts, size = starts[order], (ends - starts)[order]
-        at, count = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+        at, count, shorter = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64), -size
         for k in range(int(size[0]) + 1 if len(size) else 0):
-            live = int(np.searchsorted(-size, -k, "right"))  # words with at least k bytes
+            live = int(np.searchsorted(shorter, -k, "right"))  # words with at least k bytes
             idx = np.flatnonzero(at[:live] != NONE)
             symbols = np.where(size[idx] > k, data[np.minimum(starts[idx] + k, len(data) - 1)].astype(np.int64), END)
             while len(idx):
@@ -142,15 +142,17 @@ def token_counts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
         machine = automaton(path)
         for batch in batches:
             for a, b in slices(batch.column(1)):
-                data, starts, ends, bounds = words(batch.column(1).slice(a, b - a))
-                _, first, again = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
-                counts = machine.lengths(data, starts[first], ends[first])[again]
-                sums = np.append(0, np.cumsum(counts))
-                n = np.diff(bounds)
-                most = np.zeros(len(n), np.int64)
-                if len(counts):
-                    most[n > 0] = np.maximum.reduceat(counts, bounds[:-1][n > 0])
-                yield pa.record_batch([batch.column(0).slice(a, b - a), *(pa.array(x.astype(np.int64)) for x in (n, sums[bounds[1:]] - sums[bounds[:-1]], most))], ["id", "n_words", "n_tokens", "longest_word"])
+                n, total, most = (np.zeros(b - a, np.int64) for _ in range(3))
+                for part in segments(batch.column(1).slice(a, b - a)):
+                    data, starts, ends, bounds = words(part)
+                    _, first, again = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+                    counts = machine.lengths(data, starts[first], ends[first])[again]
+                    sums, has = np.append(0, np.cumsum(counts)), np.diff(bounds) > 0
+                    n += np.diff(bounds)
+                    total += sums[bounds[1:]] - sums[bounds[:-1]]
+                    if len(counts):
+                        most[has] = np.maximum(most[has], np.maximum.reduceat(counts, bounds[:-1][has]))
+                yield pa.record_batch([batch.column(0).slice(a, b - a), *(pa.array(x.astype(np.int64)) for x in (n, total, most))], ["id", "n_words", "n_tokens", "longest_word"])
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string"))
     return source.mapInArrow(run, "id long, n_words long, n_tokens long, longest_word long").withColumnRenamed("id", id_col)
