@@ -149,7 +149,11 @@ def pack_documents(
 
 
 def sequences(pieces: DataFrame, capacity: int = 2048, pad: int = 0) -> DataFrame:
-    """(sequence_id, ids array, used) of pieces that carry their ids, padded to ``capacity``."""
+    """(sequence_id, ids array, used) of pieces that carry their ids, padded to ``capacity``.
+
+    Needs all pieces of a sequence, each once; a row that repeats one makes the sequence
+    too long, which is an error. An empty table gives no rows.
+    """
 
     def unpack(table: pa.Table) -> pa.Table:
         table = table.sort_by([("offset", "ascending")])
