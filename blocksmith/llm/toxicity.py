@@ -215,9 +215,9 @@ def train_toxicity(labelled: DataFrame, text_col: str = "text", label_col: str =
     taken = rows.select("k", "t", F.octet_length("text").alias("bytes")).orderBy("k", "t").limit(most_rows)  # hashes and lengths only
     taken = taken.withColumn("before", F.coalesce(F.sum("bytes").over(order), F.lit(0))).where(F.col("before") < MOST_BYTES).select("k", "t").distinct()
     rows = rows.join(F.broadcast(taken), ["k", "t"], "left_semi").dropDuplicates(["k", "t", "label"]).orderBy("k", "t", "label").select("text", "label", "lang")  # at most ``most_rows`` keys
-    got = rows.mapInArrow(_bucket_rows, "ids binary, label int, lang string").collect()
-    texts = [np.frombuffer(bytes(r.ids), np.int32).reshape(-1, 2) for r in got]
-    labels = np.array([r.label for r in got], np.int64)
+    got = rows.mapInArrow(_bucket_rows, "ids binary, label int, lang string").toArrow().combine_chunks()
+    texts = [np.frombuffer(x.as_buffer(), np.int32).reshape(-1, 2) for x in got["ids"]]
+    labels, langs = np.asarray(got["label"]).astype(np.int64), got["lang"].to_pylist()
     held = np.arange(len(got)) % 5 == 4
     fit = [x for x, h in zip(texts, held) if not h]
     y = labels[~held]
@@ -243,7 +243,7 @@ def train_toxicity(labelled: DataFrame, text_col: str = "text", label_col: str =
         a, b = a - 0.05 * ga, b - 0.2 * gb
     net.scale, net.shift = a, b
     score = _sigmoid(a * z + b)
-    lang = np.array([r.lang or "" for r, h in zip(got, held) if h or not held.any()])
+    lang = np.array([x or "" for x, h in zip(langs, held) if h or not held.any()])
     every, by = _best_threshold(score, t) if t.any() else 0.5, {}
     for x in sorted(set(lang)):
         p = int(t[lang == x].sum())
