@@ -10,7 +10,7 @@ from .idfiles import write_id_files
 from .minhash import near_duplicates
 from .packing import pack_documents
 from .preferences import format_preferences
-from .quality import quality_verdicts
+from .quality import quality_verdicts, text_counts
 from .shards import balanced_shards
 from .suffixes import remove_repeats
 from .toxicity import fit_on_labels, held_out
@@ -43,6 +43,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(_read(spark, sf_dir, "documents")).drop("distance")
 
 
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op5's base rules and vectors rest on."""
+    counts = text_counts(_read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "n_lines")
+    return counts.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+
+
 def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balanced_shards(_read(spark, sf_dir, "documents"), shards=16)
 
@@ -71,13 +77,54 @@ QUERIES = {
     "op3_idfiles": op3_idfiles,
     "op4_decontam": op4_decontam,
     "op5_quality": op5_quality,
+    "quality_counts": quality_counts,
     "op6_shards": op6_shards,
     "op7_minhash": op7_minhash,
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
     "op10_suffixes": op10_suffixes,
 }
+#: Words of whole texts, of more than white space, as they are and with A-Z lowered.
+WORDS = r"""coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), [])"""
+LOWERED = WORDS.replace("(text,", "(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),")
+
 ORACLE: dict[str, str] = {
+    "op7_minhash": f"""
+WITH RECURSIVE w AS (SELECT doc_id, {LOWERED} AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(ws[p:p + 2], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, least(len(ws), 1) + 1))) AS p FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 85 * (na.n + nb.n - c)),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, b FROM reach JOIN links ON other = a),
+c AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
+""",
+    "op10_suffixes": """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+p AS (SELECT doc_id, unnest(range(1, n - 198)) AS p FROM d),
+h AS (SELECT doc_id, p, md5(x[p:p + 199]) AS h FROM p JOIN d USING (doc_id)),
+again AS (SELECT h FROM h GROUP BY h HAVING count(*) > 1),
+r AS (SELECT doc_id, p, lag(p) OVER w AS before, lead(p) OVER w AS after FROM h JOIN again USING (h) WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+runs AS (SELECT doc_id, p AS start, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS k FROM r WHERE before IS NULL OR p - before > 200),
+stops AS (SELECT doc_id, p + 200 AS stop, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS k FROM r WHERE after IS NULL OR after - p > 200),
+span AS (SELECT doc_id, start, stop, coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY start), 1) AS since FROM runs JOIN stops USING (doc_id, k)),
+piece AS (
+  SELECT doc_id, since AS a, start - 1 AS b FROM span
+  UNION ALL SELECT d.doc_id, coalesce(max(stop), 1), any_value(n) FROM d LEFT JOIN span USING (doc_id) GROUP BY d.doc_id),
+kept AS (SELECT doc_id, sha256(unhex(string_agg(hex(CASE WHEN b >= a THEN x[a:b] ELSE ''::BLOB END), '' ORDER BY a))) AS kept_sha256 FROM piece JOIN d USING (doc_id) GROUP BY doc_id),
+s AS (SELECT doc_id, CAST(sum(stop - start) AS BIGINT) AS n_removed, count(*) AS n_spans FROM span GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, kept_sha256 FROM d LEFT JOIN s USING (doc_id) JOIN kept USING (doc_id)
+""",
+    "quality_counts": f"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS text, {WORDS} AS ws, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM documents),
+g AS (SELECT doc_id, p, array_to_string(ws[p:p + 2], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS p FROM w)),
+r AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range(p, p + 3)) AS q FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1) GROUP BY doc_id),
+s AS (
+  SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+  FROM w LEFT JOIN r USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s
+""",
     "op1_preferences": """
 WITH t AS (
   SELECT conv_id // 2 AS pair_id, conv_id % 2 = 0 AS chosen, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i,

@@ -457,6 +457,33 @@ def test_toxicity(spark, docs, nothing, extra):
     assert len({x["score"] for x in flat.score(table).collect()}) == 1
 
 
+def test_training_sample(spark, monkeypatch):
+    """Long texts train too; rows stop once the bound on bytes is reached."""
+    seen = []
+    monkeypatch.setattr(toxicity.Classifier, "train", lambda self, texts, labels: seen.append([len(x) - toxicity.PAD for x in texts]))
+    rows = [(i, "en", "word " * (30_000 if i % 10 == 3 else 5), i % 2) for i in range(100)] + [(7, "en", None, 1), (8, "en", "x", None)]
+    table = spark.createDataFrame(rows, "doc_id long, lang string, text string, toxic int")
+    toxicity.train_toxicity(table)
+    assert sorted(seen[0]) == [5] * (len(seen[0]) - seen[0].count(30_000)) + [30_000] * seen[0].count(30_000) and len(seen[0]) == 80 and seen[0].count(30_000) > 4
+    monkeypatch.setattr(toxicity, "MOST_BYTES", 200_000)
+    toxicity.train_toxicity(table)
+    assert 2 <= len(seen[1]) < 60 and toxicity.train_toxicity(table, most_rows=10) and len(seen[2]) <= 8
+
+
+def test_workspaces_go_and_settings_stay(spark):
+    from blocksmith.llm import shared
+
+    before = tuple(x for x in Workspace.made if x.spark is spark)
+    settings = {k: spark.conf.get(k, None) for k in shared.SETTINGS}
+    work, kept = Workspace(spark, "one"), Workspace(spark, "two")
+    one, two = work.table("a", spark.range(3).repartition(2)), kept.table("a", spark.range(4))
+    assert (one.count(), two.count()) == (3, 4) and {k: spark.conf.get(k, None) for k in shared.SETTINGS} == settings
+    shared.clear(spark, (*before, kept))
+    with pytest.raises(Exception):
+        spark.read.parquet(work.path("a"))
+    assert spark.read.parquet(kept.path("a")).count() == 4 and work not in Workspace.made
+
+
 def test_scores_equal_a_plain_forward_pass(spark):
     """Tables and reduceat against the network written out for one text."""
     import pyarrow as pa
