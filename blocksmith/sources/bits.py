@@ -19,20 +19,44 @@ def packed_length(n: int, width: int) -> int:
 
 
 def pack(values: np.ndarray, width: int) -> bytes:
-    """Unsigned 64-bit values in ``width`` bits each, lowest bit first."""
-    rows = np.ascontiguousarray(values, "<u8").view(np.uint8).reshape(-1, 8)
-    return np.packbits(np.unpackbits(rows, axis=1, bitorder="little")[:, :width], bitorder="little").tobytes()
+    """Unsigned 64-bit values in ``width`` bits each, lowest bit first.
+
+    Eight values fill ``width`` bytes, so each of the eight has the same place in all such groups.
+    """
+    values = np.ascontiguousarray(values, "<u8")
+    n = len(values)
+    if width % 8 == 0:
+        return values.view(np.uint8).reshape(-1, 8)[:, : width // 8].tobytes()
+    if width > 57:
+        return np.packbits(np.unpackbits(values.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, :width], bitorder="little").tobytes()
+    groups = (n + 7) // 8
+    out = np.zeros((groups, width), np.uint8)
+    for k in range(8):
+        byte, shift = k * width >> 3, k * width & 7
+        words = values[k::8] << np.uint64(shift)
+        used = (width + shift + 7) // 8
+        out[: len(words), byte : byte + used] |= words.view(np.uint8).reshape(-1, 8)[:, :used]
+    return out.tobytes()[: packed_length(n, width)]
 
 
 def unpack(data: bytes, n: int, width: int) -> np.ndarray:
+    """``n`` values of ``width`` bits: the eight bytes at each value's first byte, moved down, and what a ninth byte adds."""
     if width > 64 or len(data) != packed_length(n, width):
         raise InvalidMetadata("packed values have the wrong length")
-    if not width:
+    if not width or not n:
         return np.zeros(n, np.uint64)
-    bits = np.unpackbits(np.frombuffer(data, np.uint8), count=n * width, bitorder="little").reshape(n, width)
-    full = np.zeros((n, 64), np.uint8)
-    full[:, :width] = bits
-    return np.packbits(full, axis=1, bitorder="little").view("<u8").ravel()
+    if width == 64:
+        return np.frombuffer(data, "<u8").astype(np.uint64)
+    groups = (n + 7) // 8
+    padded = bytes(data) + bytes(groups * width - len(data) + 16)
+    out, mask = np.empty(groups * 8, np.uint64), np.uint64((1 << width) - 1)
+    for k in range(8):
+        byte, shift = k * width >> 3, k * width & 7
+        words = np.ndarray(groups, "<u8", padded, byte, (width,)) >> np.uint64(shift)
+        if width + shift > 64:
+            words |= np.ndarray(groups, np.uint8, padded, byte + 8, (width,)).astype(np.uint64) << np.uint64(64 - shift)
+        np.bitwise_and(words, mask, out=out[k::8])
+    return out[:n]
 
 
 def zigzag(x: np.ndarray) -> np.ndarray:
@@ -53,6 +77,8 @@ def _differences(x: np.ndarray) -> np.ndarray | None:
 def _sums(x: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         s = np.cumsum(x, dtype=np.int64)
+    if max(abs(int(x.min())), abs(int(x.max()))) * len(x) < 2**63:
+        return s
     if (((s[:-1] ^ s[1:]) & (x[1:] ^ s[1:])) < 0).any():
         raise NumberOverflow("a sum of differences leaves 64 bits")
     return s
@@ -86,7 +112,7 @@ def integer_decode(tag: int, head: tuple[int, ...], width: int, data: bytes, n:
     if tag == RAW:
         if len(data) != 8 * n:
             raise InvalidMetadata("raw integers have the wrong length")
-        return np.frombuffer(data, "<i8").astype(np.int64)
+        return np.frombuffer(data, "<i8")
     if tag == FOR:
         offsets = unpack(data, n, width)
         out = (offsets + np.int64(head[0]).view(np.uint64)).view(np.int64)
@@ -95,6 +121,8 @@ def integer_decode(tag: int, head: tuple[int, ...], width: int, data: bytes, n:
         return out
     if tag == DELTA:
         return _sums(np.concatenate([np.array(head[:1], np.int64), unzigzag(unpack(data, max(n - 1, 0), width))]))[:n]
+    if not width and not len(data) and -(2**63) <= head[0] + head[1] * (n - 1) < 2**63:
+        return np.arange(n, dtype=np.int64) * np.int64(head[1]) + np.int64(head[0])
     changes = unzigzag(unpack(data, max(n - 2, 0), width))
     steps = _sums(np.concatenate([np.array(head[1:], np.int64), changes]))
     return _sums(np.concatenate([np.array(head[:1], np.int64), steps]))[:n]
@@ -134,8 +162,8 @@ def rle_decode(data: bytes, n: int) -> np.ndarray:
 PATTERN_FLAG, PATTERN, LEAST, MOST, LITERAL = 0x80, 3, 3, 16, 7
 
 
-def bca_encode(bits: np.ndarray) -> bytes:
-    """Greedy blocks of a byte: a repeated three-bit pattern where it repeats three times or more, else literals."""
+def bca_encode(bits: np.ndarray, most: int | None = None) -> bytes | None:
+    """Greedy blocks of a byte: a repeated three-bit pattern where it repeats three times or more, else literals; None once there are over ``most``."""
     n = len(bits)
     same = np.zeros(n, np.int64)  # how far each bit equals the one three before it, on and on
     equal = bits[: max(n - PATTERN, 0)] == bits[PATTERN:]
@@ -144,6 +172,8 @@ def bca_encode(bits: np.ndarray) -> bytes:
     same[: len(equal)] = breaks[np.searchsorted(breaks, at)] - at
     runs, values, out, i = same.tolist(), bits.tolist(), bytearray(), 0
     while i < n:
+        if most is not None and len(out) >= most:
+            return None
         repeats = min(MOST, 1 + runs[i] // PATTERN) if i + PATTERN <= n else 0
         if repeats >= LEAST:
             out.append(PATTERN_FLAG | sum(values[i + k] << 4 + k for k in range(PATTERN)) | repeats - 1)

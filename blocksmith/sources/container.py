@@ -64,7 +64,7 @@ def encode_footer(meta: Metadata) -> bytes:
 
 def decode_footer(data: bytes) -> Metadata:
     cursor = Cursor(data)
-    schema = decode_schema(cursor.take(cursor.number("I")))
+    schema = decode_schema(bytes(cursor.take(cursor.number("I"))))
     fields, blocks = cursor.number("I"), cursor.number("I")
     if fields != len(schema):
         raise InvalidMetadata("field count differs from the schema")
@@ -89,10 +89,10 @@ def decode_trailer(data: bytes) -> tuple[int, int]:
 
 
 class BlockWriter:
-    """Writes blocks to a binary stream; only what ``finish`` ended is a file."""
+    """Writes blocks to a binary stream; only what ``finish`` ended is a file. ``each`` maps over columns, in order, and may do so in threads."""
 
-    def __init__(self, stream, schema: pa.Schema):
-        self.stream, self.meta, self.at = stream, Metadata(schema), len(HEADER)
+    def __init__(self, stream, schema: pa.Schema, each=map):
+        self.stream, self.meta, self.at, self.each = stream, Metadata(schema), len(HEADER), each
         stream.write(HEADER)
 
     def write_batch(self, batch: pa.RecordBatch) -> None:
@@ -101,8 +101,7 @@ class BlockWriter:
         if not len(batch):
             return
         block = Block(len(batch), [])
-        for item, array in zip(batch.schema, batch.columns):
-            codec, data = encode_chunk(item, array)
+        for codec, data in self.each(encode_chunk, batch.schema, batch.columns):
             self.stream.write(data)
             block.chunks.append(Chunk(codec, self.at, len(data)))
             self.at += len(data)
@@ -115,11 +114,27 @@ class BlockWriter:
         return self.stream
 
 
+def _read_at(stream, at: int, n: int) -> bytes:
+    stream.seek(at)
+    data = stream.read(n)
+    if len(data) != n:
+        raise UnexpectedEnd("file ends early")
+    return data
+
+
+def read_block(stream, schema: pa.Schema, block: Block, columns: list[str] | None = None, each=map) -> pa.RecordBatch:
+    """A block whose places are known; ``columns`` names those to read, ``each`` maps over them."""
+    wanted = [(item, chunk) for item, chunk in zip(schema, block.chunks) if columns is None or item.name in columns]
+    data = [_read_at(stream, chunk.offset, chunk.length) for _, chunk in wanted]
+    arrays = each(lambda one, part: decode_chunk(one[0], one[1].codec, part, block.rows), wanted, data)
+    return pa.record_batch(list(arrays), schema=pa.schema([item for item, _ in wanted]))
+
+
 class BlockReader:
     """Reads the footer at once and chunks when asked. ``stream`` is seekable."""
 
-    def __init__(self, stream):
-        self.stream = stream
+    def __init__(self, stream, each=map):
+        self.stream, self.each = stream, each
         size = stream.seek(0, 2)
         size = stream.tell() if size is None else size
         if size < len(HEADER) + TRAILER.size:
@@ -136,11 +151,7 @@ class BlockReader:
         self.meta = decode_footer(footer)
 
     def _read(self, at: int, n: int) -> bytes:
-        self.stream.seek(at)
-        data = self.stream.read(n)
-        if len(data) != n:
-            raise UnexpectedEnd("file ends early")
-        return data
+        return _read_at(self.stream, at, n)
 
     @property
     def schema(self) -> pa.Schema:
@@ -154,14 +165,10 @@ class BlockReader:
         """One block; ``columns`` names those to read."""
         if not 0 <= index < self.num_batches:
             raise BlockOutOfRange(f"block {index} of {self.num_batches}")
-        block, fields, arrays = self.meta.blocks[index], [], []
-        for item, chunk in zip(self.schema, block.chunks):
-            if columns is None or item.name in columns:
-                if chunk.offset < len(HEADER) or chunk.offset + chunk.length > self.end:
-                    raise InvalidMetadata("chunk lies outside the data")
-                fields.append(item)
-                arrays.append(decode_chunk(item, chunk.codec, self._read(chunk.offset, chunk.length), block.rows))
-        return pa.record_batch(arrays, schema=pa.schema(fields))
+        block = self.meta.blocks[index]
+        if any(c.offset < len(HEADER) or c.offset + c.length > self.end for c in block.chunks):
+            raise InvalidMetadata("chunk lies outside the data")
+        return read_block(self.stream, self.schema, block, columns, self.each)
 
     def read_all(self) -> pa.Table:
         return pa.Table.from_batches([self.read_batch(i) for i in range(self.num_batches)], self.schema)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from blocksmith.sources.container import BlockWriter
-from blocksmith.sources.datasource import block_index, register
+from blocksmith.sources.datasource import block_index, list_files, register
 from blocksmith.streaming.ingest import append_blocks
 
 
@@ -74,3 +74,96 @@ def test_stream(spark, tmp_path):
     query = append_blocks(spark.readStream.schema("id long").parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "check"), 30)
     query.awaitTermination()
     assert spark.read.format("blocks").load(str(tmp_path / "out")).count() == 100
+
+
+def _one_file(path, rows):
+    batch = pa.record_batch([pa.array(rows, pa.int64())], ["id"])
+    with open(path, "wb") as f:
+        writer = BlockWriter(f, batch.schema)
+        writer.write_batch(batch)
+        writer.finish()
+
+
+def test_append_keeps_files_without_a_manifest(spark, tmp_path):
+    register(spark)
+    (tmp_path / "t").mkdir()
+    _one_file(tmp_path / "t" / "a.blk", list(range(50)))
+    spark.range(50, 57).write.format("blocks").mode("append").save(str(tmp_path / "t"))
+    assert sorted(r["id"] for r in spark.read.format("blocks").load(str(tmp_path / "t")).collect()) == list(range(57))
+    spark.range(3).write.format("blocks").mode("overwrite").save(str(tmp_path / "t"))
+    assert spark.read.format("blocks").load(str(tmp_path / "t")).count() == 3 and not (tmp_path / "t" / "a.blk").exists()
+
+
+def test_append_of_another_schema_is_refused(spark, table):
+    df, path = table
+    for other in (df.drop("b"), df.withColumn("id", F.col("id").cast("int")), df.select("s", "id", "b", "d")):
+        with pytest.raises(Exception, match="SchemaChanged|the table has"):
+            other.write.format("blocks").mode("append").save(path)
+    assert same(spark.read.format("blocks").load(path), df)
+
+
+def test_empty_table_keeps_its_schema(spark, table, tmp_path):
+    df, path = table
+    df.limit(0).write.format("blocks").mode("append").save(str(tmp_path / "none"))
+    read = spark.read.format("blocks").load(str(tmp_path / "none"))
+    assert read.dtypes == df.dtypes and read.count() == 0
+    df.limit(0).write.format("blocks").mode("append").save(path)
+    assert spark.read.format("blocks").load(path).count() == 1000
+    df.limit(0).write.format("blocks").mode("overwrite").save(path)
+    assert spark.read.format("blocks").load(path).count() == 0 and spark.read.format("blocks").load(path).dtypes == df.dtypes
+
+
+def test_unequal_blocks_with_nulls_through_appends(spark, tmp_path):
+    register(spark)
+    path = str(tmp_path / "t")
+    one = spark.createDataFrame([(1, 10), (2, None), (3, 30)], "id long, reading long").coalesce(1)
+    two = spark.createDataFrame([(4, None), (5, None)], "id long, reading long").coalesce(1)
+    for x in (one, two):
+        x.write.format("blocks").mode("append").save(path)
+    rows = spark.read.format("blocks").option("block_column", "true").load(path).collect()
+    assert [(r["_block"], r["id"], r["reading"]) for r in rows] == [(0, 1, 10), (0, 2, None), (0, 3, 30), (1, 4, None), (1, 5, None)]
+
+
+def test_commits_that_read_the_same_manifest(spark, table, monkeypatch):
+    """The later one sees that the other came between and adds to it."""
+    from blocksmith.sources import datasource
+
+    df, path = table
+    sink = datasource.BlockSink(path, df.schema, 100, False)
+    names = ["x.blk", "y.blk"]
+    for name in names:
+        with open(f"{path}/{name}", "wb") as f:
+            BlockWriter(f, pa.schema([])).finish()
+    real, calls = datasource.read_manifest, []
+
+    def first_read_then_other_commit(store, root):
+        found = real(store, root)
+        calls.append(1)
+        if len(calls) == 2:  # the check after our move: another commit replaced it
+            found = {"files": [n for n in found["files"] if n != "x.blk"], "batches": {}}
+        return found
+
+    monkeypatch.setattr(datasource, "read_manifest", first_read_then_other_commit)
+    sink.commit([datasource.Written("x.blk", 0)])
+    monkeypatch.undo()
+    sink.commit([datasource.Written("y.blk", 0)])
+    assert {x.rsplit("/", 1)[-1] for x in datasource.list_files(path)} >= {"x.blk", "y.blk"}
+
+
+def test_replayed_batches_are_added_once(spark, tmp_path):
+    register(spark)
+    path = str(tmp_path / "t")
+    for batch in (0, 0, 1, 0, 1):
+        spark.range(10).write.format("blocks").mode("append").option("batch_query", "q").option("batch_id", batch).save(path)
+    assert spark.read.format("blocks").load(path).count() == 20
+    kept = {x.rsplit("/", 1)[-1] for x in list_files(path)}
+    assert {x.name for x in (tmp_path / "t").iterdir() if x.suffix == ".blk"} == kept
+    spark.range(10).write.format("blocks").mode("append").option("batch_query", "other").option("batch_id", 0).save(path)
+    assert spark.read.format("blocks").load(path).count() == 30
+
+
+def test_runs_of_blocks_are_partitions(spark, table):
+    _, path = table
+    assert spark.read.format("blocks").load(path).rdd.getNumPartitions() == 2
+    assert spark.read.format("blocks").option("partition_bytes", "1").load(path).rdd.getNumPartitions() == 8
+    assert spark.read.format("blocks").option("blocks", "0,2").load(path).rdd.getNumPartitions() == 2
