@@ -18,6 +18,18 @@ def double_bits(values: pd.Series) -> pd.Series:
     return pd.Series(values.to_numpy(np.float64).view(np.int64))
 
 
+@F.pandas_udf(LongType())
+def float_bits(values: pd.Series) -> pd.Series:
+    """The 32 bits of each float as bigint; the column must have no nulls."""
+    return pd.Series(values.to_numpy(np.float32).view(np.uint32).astype(np.int64))
+
+
+@F.pandas_udf(LongType())
+def half_bits(values: pd.Series) -> pd.Series:
+    """The 16 bits of each half-precision float, held as float; the column must have no nulls."""
+    return pd.Series(values.to_numpy(np.float32).astype(np.float16).view(np.uint16).astype(np.int64))
+
+
 @F.pandas_udf(DoubleType())
 def bits_double(values: pd.Series) -> pd.Series:
     return pd.Series(values.to_numpy(np.int64).view(np.float64))

@@ -5,7 +5,7 @@ Inputs have block_id, pos and a bigint column without nulls (see ``fill_nulls``)
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bits import packed_length, required_bits, unzigzag, zigzag
@@ -25,7 +25,9 @@ def for_encode(df: DataFrame, value: str) -> DataFrame:
 
 
 def for_decode(df: DataFrame) -> DataFrame:
-    return df.select("block_id", "pos", (F.col("minimum") + F.col("offset")).alias("v"))
+    """An offset of 2**63 and more is negative as a bigint and is added in decimals."""
+    wide = (F.col("minimum").cast("decimal(20,0)") + F.col("offset") + F.expr("18446744073709551616BD")).cast("long")
+    return df.select("block_id", "pos", F.when(F.col("offset") < 0, wide).otherwise(F.col("minimum") + F.col("offset")).alias("v"))
 
 
 def delta_encode(df: DataFrame, value: str) -> DataFrame:
@@ -36,8 +38,9 @@ def delta_encode(df: DataFrame, value: str) -> DataFrame:
 
 
 def delta_decode(df: DataFrame) -> DataFrame:
-    """The first value stands inside the sum, so that partial sums are the values themselves."""
-    return df.select("block_id", "pos", F.sum(F.coalesce(unzigzag(F.col("z")), "first")).over(running()).alias("v"))
+    """The first value stands inside the sum, so that partial sums are the values themselves. Null in a block whose encoding was withdrawn."""
+    step = F.when(F.col("fits"), F.coalesce(unzigzag(F.col("z")), "first"))
+    return df.select("block_id", "pos", F.sum(step).over(running()).alias("v"))
 
 
 def dod_encode(df: DataFrame, value: str) -> DataFrame:
@@ -50,10 +53,11 @@ def dod_encode(df: DataFrame, value: str) -> DataFrame:
 
 
 def dod_decode(df: DataFrame) -> DataFrame:
+    """Null in a block whose encoding was withdrawn."""
     row = F.row_number().over(in_block())
-    out = df.withColumn("step", F.when(row == 1, F.lit(0).cast("long")).when(row == 2, F.col("first_delta")).otherwise(unzigzag(F.col("z")))).withColumn("row", row)
+    out = df.withColumn("step", F.when(~F.col("fits"), F.lit(None)).when(row == 1, F.lit(0).cast("long")).when(row == 2, F.col("first_delta")).otherwise(unzigzag(F.col("z")))).withColumn("row", row)
     out = out.withColumn("d", F.sum("step").over(running()))
-    return out.select("block_id", "pos", F.sum(F.when(F.col("row") == 1, F.col("first")).otherwise(F.col("d"))).over(running()).alias("v"))
+    return out.select("block_id", "pos", F.sum(F.when(~F.col("fits"), F.lit(None)).when(F.col("row") == 1, F.col("first")).otherwise(F.col("d"))).over(running()).alias("v"))
 
 
 def integer_profile(df: DataFrame, value: str) -> DataFrame:
@@ -66,14 +70,25 @@ def integer_profile(df: DataFrame, value: str) -> DataFrame:
         F.count("*").alias("n"), F.min("v").alias("minimum"), F.max("v").alias("maximum"), F.count("d").alias("nd"), F.count("dd").alias("ndd"),
         zero(F.max(required_bits(zigzag(F.col("d"))))).alias("wd"), zero(F.max(required_bits(zigzag(F.col("dd"))))).alias("wdd"),
     )
-    n, less1, less2 = F.col("n"), F.greatest(F.col("n") - 1, F.lit(0)), F.greatest(F.col("n") - 2, F.lit(0))
+    less1, less2 = F.greatest(F.col("n") - 1, F.lit(0)), F.greatest(F.col("n") - 2, F.lit(0))
     out = out.withColumn("for_width", F.coalesce(required_bits(F.try_subtract("maximum", "minimum")), F.lit(64)))
     out = out.withColumn("delta_width", F.when(F.col("nd") == less1, F.col("wd"))).withColumn("dod_width", F.when((F.col("nd") == less1) & (F.col("ndd") == less2), F.col("wdd")))
-    sizes = {"raw": n * 8, "for": packed_length(n, F.col("for_width")), "delta": packed_length(less1, F.col("delta_width")), "dod": packed_length(less2, F.col("dod_width"))}
+    sizes = payload_sizes(*(F.col(x) for x in ("n", "for_width", "delta_width", "dod_width")))
     out = out.withColumns({f"{k}_bytes": x for k, x in sizes.items()})
-    options = [F.when(F.col(f"{name}_bytes").isNotNull(), F.struct(F.col(f"{name}_bytes").alias("bytes"), F.lit(tag).alias("tag"), F.lit(name).alias("name"), F.lit(head).alias("head"))) for name, tag, head in ENCODINGS]
-    out = out.withColumn("best", F.least(*options))
+    out = out.withColumn("best", smallest({k: F.col(f"{k}_bytes") for k in sizes}))
     return out.select(
         "block_id", "n", "for_width", "delta_width", "dod_width", *[f"{k}_bytes" for k in sizes], F.col("best.name").alias("encoding"), F.col("best.bytes").alias("payload_bytes"),
         (F.col("best.bytes") + F.col("best.head")).alias("chunk_bytes"),
     )
+
+
+def payload_sizes(n: Column, for_width: Column, delta_width: Column, dod_width: Column) -> dict[str, Column]:
+    """Payload bytes of each encoding of n values; null where the width is."""
+    less1, less2 = F.greatest(n - 1, F.lit(0)), F.greatest(n - 2, F.lit(0))
+    return {"raw": n * 8, "for": packed_length(n, for_width), "delta": packed_length(less1, delta_width), "dod": packed_length(less2, dod_width)}
+
+
+def smallest(sizes: dict[str, Column]) -> Column:
+    """A struct (bytes, tag, name, head) of the smallest payload; ties go to the lower tag."""
+    options = [F.when(sizes[name].isNotNull(), F.struct(sizes[name].alias("bytes"), F.lit(tag).alias("tag"), F.lit(name).alias("name"), F.lit(head).alias("head"))) for name, tag, head in ENCODINGS]
+    return F.least(*options)

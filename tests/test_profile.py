@@ -21,9 +21,9 @@ def test_integer_profiles_match_chunks(spark):
         df = frame(spark, values, "long")
         got = integers.integer_profile(df, "v").first()
         assert got["chunk_bytes"] + 1 == len(encode_chunk(pa.field("v", pa.int64()), pa.array(values, pa.int64()))[1]), values
-        assert [x["v"] for x in integers.for_decode(integers.for_encode(df, "v")).orderBy("pos").collect()] == values if max(values) - min(values) < i64 else True
-        if got["delta_width"] is not None:
-            assert [x["v"] for x in integers.delta_decode(integers.delta_encode(df, "v")).orderBy("pos").collect()] == values
+        assert [x["v"] for x in integers.for_decode(integers.for_encode(df, "v")).orderBy("pos").collect()] == values
+        for width, encode, decode in (("delta_width", integers.delta_encode, integers.delta_decode), ("dod_width", integers.dod_encode, integers.dod_decode)):
+            assert [x["v"] for x in decode(encode(df, "v")).orderBy("pos").collect()] == (values if got[width] is not None else [None] * len(values))
 
 
 def test_wide_offsets_are_unsigned(spark):
@@ -44,3 +44,26 @@ def test_workload_sizes(spark):
     want = {"telemetry": 587_574, "random-i64": 4_800_012, "mixed-arrow": 1_087_593}
     for name, make in workloads.WORKLOADS.items():
         assert profile.table_profile(make(spark, 100_000, 100_000)).agg(F.sum("chunk_bytes")).first()[0] == want[name]
+
+
+def test_table_profile_matches_chunks_of_every_type(spark):
+    """Nulls, empty strings, unsigned and short floats, over blocks of different sizes."""
+    import decimal
+
+    r = np.random.default_rng(3)
+    n = 230
+    odd = lambda xs, k: [None if i % k == 1 else x for i, x in enumerate(xs)]
+    columns = {
+        "i": (pa.int32(), "int", odd(r.integers(-9, 9, n).tolist(), 4)), "u": (pa.uint64(), "decimal(20,0)", odd([2**64 - 1 - 3 * k for k in range(n)], 7)), "t": (pa.int64(), "long", [5 * k for k in range(n)]),
+        "h": (pa.float16(), "float", odd([float(np.float16(x)) for x in r.normal(0, 1, n)], 5)), "f": (pa.float32(), "float", odd([float(np.float32(1 + k * 1e-6)) for k in range(n)], 6)), "d": (pa.float64(), "double", [1 + k * 1e-9 for k in range(n)]),
+        "b": (pa.bool_(), "boolean", odd([k % 3 == 0 for k in range(n)], 50)), "s": (pa.string(), "string", odd(["", "yes", "no"] * 76 + ["", "x"], 9)), "l": (pa.large_string(), "string", [f"v{k}" for k in range(n)]), "z": (pa.string(), "string", [None] * n),
+    }
+    rows = [(k // 100, k, *[decimal.Decimal(v[2][k]) if c == "u" and v[2][k] is not None else v[2][k] for c, v in columns.items()]) for k in range(n)]
+    df = spark.createDataFrame(rows, "block_id long, pos long, " + ", ".join(f"{c} {v[1]}" for c, v in columns.items()))
+    got = {(x["column_name"], x["block_id"]): x for x in profile.table_profile(df, stored={"u": "uint64", "h": "float16", "l": "large_string"}).collect()}
+    for c, (kind, _, values) in columns.items():
+        for b in range(3):
+            part = values[100 * b : 100 * b + 100]
+            array = pa.array([None if x is None else np.float16(x) for x in part], kind) if c == "h" else pa.array(part, kind)
+            assert (got[c, b]["chunk_bytes"], got[c, b]["n"]) == (len(encode_chunk(pa.field(c, kind), array)[1]), len(part)), (c, b)
+    assert len(got) == 30
