@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import io
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from .functions.checksum import crc32c_column
 from .operators import booleans, floats, integers, strings
 from .operators.blocks import concat_blocks, fill_nulls, validity_profile, with_blocks
 from .plans import profile, workloads
+from .plans.measure import write_blocks
+from .sources.container import validate
 from .sources.datasource import block_index, register
 from .sources.scratch import scratch
 
@@ -37,6 +41,7 @@ E = "e AS (SELECT *, event_id AS pos, event_id // 1000 AS block_id, epoch_us(ts)
 C = "c AS (SELECT *, c_custkey AS pos, c_custkey // 500 AS block_id FROM customer)"
 BITS = lambda x: f"CASE WHEN ({x}) = 0 THEN 0 ELSE length(bin(CAST({x} AS UBIGINT))) END"
 ZIG = lambda x: f"CASE WHEN ({x}) >= 0 THEN 2 * ({x}) ELSE -2 * ({x}) - 1 END"
+FITS = lambda x: f"CASE WHEN ({x}) BETWEEN -9223372036854775808 AND 9223372036854775807 THEN {x} END"
 LAG = lambda x: f"lag({x}) OVER (PARTITION BY block_id ORDER BY pos)"
 PACKED = lambda n, w: f"CAST((({n}) * ({w}) + 7) // 8 AS BIGINT)"
 
@@ -116,10 +121,12 @@ def dod_decode(spark, sf_dir):
 def _selector_sql(source: str, table: str, value: str) -> str:
     return f"""
 WITH {source},
-a AS (SELECT block_id, pos, CAST({value} AS HUGEINT) AS v, CAST({value} AS HUGEINT) - {LAG(f"CAST({value} AS HUGEINT)")} AS d FROM {table}),
-b AS (SELECT *, d - {LAG('d')} AS dd FROM a),
-g AS (SELECT block_id, count(*) AS n, max(v) - min(v) AS spread, max({ZIG('d')}) AS z, max({ZIG('dd')}) AS zz FROM b GROUP BY block_id),
-w AS (SELECT block_id, n, CAST({BITS('spread')} AS INTEGER) AS for_width, CAST(coalesce({BITS('z')}, 0) AS INTEGER) AS delta_width, CAST(coalesce({BITS('zz')}, 0) AS INTEGER) AS dod_width FROM g),
+a AS (SELECT block_id, pos, CAST({value} AS HUGEINT) AS v, CAST({value} AS HUGEINT) - {LAG(f"CAST({value} AS HUGEINT)")} AS d0 FROM {table}),
+b AS (SELECT *, {FITS('d0')} AS d, d0 IS NOT NULL AND {FITS('d0')} IS NULL AS bad FROM a),
+bb AS (SELECT *, d - {LAG('d')} AS dd0 FROM b),
+bbb AS (SELECT *, {FITS('dd0')} AS dd, dd0 IS NOT NULL AND {FITS('dd0')} IS NULL AS bad2 FROM bb),
+g AS (SELECT block_id, count(*) AS n, max(v) - min(v) AS spread, max({ZIG('d')}) AS z, max({ZIG('dd')}) AS zz, bool_or(bad) AS bad, bool_or(bad OR bad2) AS bad2 FROM bbb GROUP BY block_id),
+w AS (SELECT block_id, n, CAST({BITS('spread')} AS INTEGER) AS for_width, CASE WHEN NOT bad THEN CAST(coalesce({BITS('z')}, 0) AS INTEGER) END AS delta_width, CASE WHEN NOT bad2 THEN CAST(coalesce({BITS('zz')}, 0) AS INTEGER) END AS dod_width FROM g),
 s AS (SELECT *, n * 8 AS raw_bytes, {PACKED('n', 'for_width')} AS for_bytes, {PACKED('n - 1', 'delta_width')} AS delta_bytes, {PACKED('greatest(n - 2, 0)', 'dod_width')} AS dod_bytes FROM w),
 x AS (SELECT *, least(raw_bytes, for_bytes, delta_bytes, dod_bytes) AS payload_bytes FROM s)
 SELECT block_id, n, for_width, delta_width, dod_width, raw_bytes, for_bytes, delta_bytes, dod_bytes,
@@ -149,12 +156,16 @@ def xor_widths(spark, sf_dir):
     return floats.float_profile(_customer(spark, sf_dir), floats.double_bits("c_acctbal")).select("block_id", "n", "width")
 
 
-@_query(f"""
-WITH {O}, b AS (SELECT block_id, pos, CAST(CAST(o_totalprice AS DOUBLE) AS BIT) AS b FROM o),
+def _float_sql(source: str, table: str, value: str) -> str:
+    return f"""
+WITH {source}, b AS (SELECT block_id, pos, CAST(CAST({value} AS DOUBLE) AS BIT) AS b FROM {table}),
 x AS (SELECT block_id, CAST(xor(b, {LAG('b')}) AS VARCHAR) AS x FROM b),
 w AS (SELECT block_id, count(*) AS n, CAST(coalesce(max(length(ltrim(x, '0'))), 0) AS INTEGER) AS width FROM x GROUP BY block_id),
 s AS (SELECT *, n * 8 AS raw_bytes, {PACKED('n - 1', 'width')} AS xor_bytes FROM w)
-SELECT *, CASE WHEN xor_bytes + 9 < raw_bytes THEN 'xor' ELSE 'raw' END AS encoding, 1 + CASE WHEN xor_bytes + 9 < raw_bytes THEN xor_bytes + 9 ELSE raw_bytes END AS chunk_bytes FROM s""")
+SELECT *, CASE WHEN xor_bytes + 9 < raw_bytes THEN 'xor' ELSE 'raw' END AS encoding, 1 + CASE WHEN xor_bytes + 9 < raw_bytes THEN xor_bytes + 9 ELSE raw_bytes END AS chunk_bytes FROM s"""
+
+
+@_query(_float_sql(O, "o", "o_totalprice"))
 def float_selector(spark, sf_dir):
     return floats.float_profile(_orders(spark, sf_dir), floats.double_bits("o_totalprice"))
 
@@ -284,12 +295,21 @@ def codec_choice(spark, sf_dir):
     return profile.codec_choice(_read(spark, sf_dir, "lineitem"))
 
 
-@_query(f"""
-{_selector_sql(O, "o", "o_custkey").replace("SELECT block_id, n, for_width", "SELECT 'o_custkey' AS column_name, block_id, n, for_width").replace("WITH", "WITH ints AS (WITH", 1)}),
-strs AS ({_string_sql(O, "o", "o_orderstatus")})
-SELECT column_name, block_id, n, encoding, chunk_bytes + 1 AS chunk_bytes FROM ints UNION ALL SELECT 'o_orderstatus', block_id, n, encoding, chunk_bytes + 1 FROM strs""")
+def _int_part(source: str, table: str, column: str) -> str:
+    return f"SELECT '{column}' AS column_name, block_id, n, encoding, chunk_bytes + 1 AS chunk_bytes FROM ({_selector_sql(source, table, column)})"
+
+
+def _string_part(source: str, table: str, column: str) -> str:
+    return f"SELECT '{column}' AS column_name, block_id, n, encoding, chunk_bytes + 1 AS chunk_bytes FROM ({_string_sql(source, table, column)})"
+
+
+def _float_part(source: str, table: str, column: str) -> str:
+    return f"SELECT '{column}' AS column_name, block_id, n, encoding, chunk_bytes + 1 AS chunk_bytes FROM ({_float_sql(source, table, column)})"
+
+
+@_query(" UNION ALL ".join([*(_int_part(O, "o", c) for c in ("o_orderkey", "o_custkey")), _float_part(O, "o", "o_totalprice"), *(_string_part(O, "o", c) for c in ("o_orderstatus", "o_orderpriority"))]))
 def table_profile(spark, sf_dir):
-    return profile.table_profile(_orders(spark, sf_dir), ["o_custkey", "o_orderstatus"])
+    return profile.table_profile(_orders(spark, sf_dir))
 
 
 # The data source
@@ -330,6 +350,35 @@ def block_index_rows(spark, sf_dir):
     return found.groupBy("column_name", "codec").agg(F.sum("rows").alias("rows"))
 
 
+@_query("SELECT (count(*) + 99) // 100 AS n_blocks, count(*) AS n_rows FROM part")
+def block_count(spark, sf_dir):
+    register(spark)
+    path = scratch(spark, "count")
+    _read(spark, sf_dir, "part").orderBy("p_partkey").coalesce(1).write.format("blocks").mode("append").option("block_rows", 100).save(path)
+    blocks = block_index(spark, path).select("file", "block", "rows").distinct()
+    return blocks.agg(F.count("*").alias("n_blocks"), F.sum("rows").alias("n_rows"))
+
+
+#: What is done to a file of the regions, and the error that validation then names.
+DAMAGE = {
+    "none": (lambda x: x, None),
+    "cut to 20 bytes": (lambda x: x[:20], "UnexpectedEnd"),
+    "another header": (lambda x: b"X" + x[1:], "InvalidMagic"),
+    "another trailer": (lambda x: x[:-1] + b"X", "InvalidMagic"),
+    "footer longer than the file": (lambda x: x[:-16] + b"\xff" * 7 + b"\x7f" + x[-8:], "InvalidMetadata"),
+    "another checksum": (lambda x: x[:-8] + bytes([x[-8] ^ 1]) + x[-7:], "ChecksumMismatch"),
+    "a byte of the footer": (lambda x: x[:-20] + bytes([x[-20] ^ 1]) + x[-19:], "ChecksumMismatch"),
+}
+
+
+@_query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', {repr(v[1]) if v[1] else 'CAST(NULL AS VARCHAR)'})" for k, v in DAMAGE.items()) + ") t(damage, error)")
+def damaged_files(spark, sf_dir):
+    table = _read(spark, sf_dir, "region").toArrow()
+    sound = write_blocks(table.combine_chunks().to_batches())
+    found = [(k, (validate(io.BytesIO(change(sound)), chunks=True) or "").split(":")[0] or None) for k, (change, _) in DAMAGE.items()]
+    return spark.createDataFrame(found, "damage string, error string")
+
+
 @_query(f"WITH {C} SELECT block_id + CASE WHEN twice THEN (SELECT max(block_id) + 1 FROM c) ELSE 0 END AS block_id, pos, c_name FROM c, (VALUES (false), (true)) t(twice)")
 def concat_two(spark, sf_dir):
     df = _customer(spark, sf_dir).select("block_id", "pos", "c_name")
@@ -355,14 +404,19 @@ def parquet_roundtrip(spark, sf_dir):
     return spark.read.parquet(path)
 
 
-@_query()
+@_query("""
+WITH tab AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 2197175160) ELSE c >> 1 END)) AS tab),
+b AS (SELECT doc_id, text, hex(encode(text)) AS h FROM documents)
+SELECT doc_id, xor(list_reduce(list_concat([4294967295], list_transform(range(strlen(text)), lambda i: CAST(('0x' || substr(h, 2 * i + 1, 2)) AS BIGINT))), lambda s, x: xor(s >> 8, tab[(xor(s, x) & 255) + 1])), 4294967295) AS crc
+FROM b, tab""")
 def crc32c(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select("doc_id", crc32c_column("text").alias("crc"))
 
 
 # Workloads
 
-ROWS, BLOCK = 20_000, 5_000
+#: Two blocks of the size that the reference workloads have by default.
+ROWS, BLOCK = 200_000, 100_000
 H1 = lambda v: f"(CAST(xor(CAST({v} AS UBIGINT), CAST({v} AS UBIGINT) >> 30) AS UHUGEINT) * {workloads.MIX_ONE}::UHUGEINT % 18446744073709551616::UHUGEINT)::UBIGINT"
 H2 = lambda v: f"(CAST(xor({v}, {v} >> 27) AS UHUGEINT) * {workloads.MIX_TWO}::UHUGEINT % 18446744073709551616::UHUGEINT)::UBIGINT"
 
@@ -376,31 +430,54 @@ def _hashes(inputs: dict[str, str]) -> str:
     )
 
 
-@_query(f"""
-WITH {_hashes({'h0': 'pos', 'h1': '(pos + 1)', 'h2': '(pos + 2)'})}
+TELEMETRY = f"""{_hashes({'h0': 'pos', 'h1': '(pos + 1)', 'h2': '(pos + 2)'})}, telemetry AS (
 SELECT block_id, pos, {workloads.START_MS} + pos * 1000 AS "time", CAST(h0 % 20000 AS BIGINT) AS customer, CAST(h1 % 800 AS BIGINT) AS product, CAST(h0 % 20000 % 32 AS BIGINT) AS country,
-  CAST(1 + h2 % 5 AS BIGINT) AS quantity, CAST(199 + 17 * (h1 % 800) AS BIGINT) AS price FROM h""")
-def workload_telemetry(spark, sf_dir):
-    return workloads.telemetry(spark, ROWS, BLOCK)
+  CAST(1 + h2 % 5 AS BIGINT) AS quantity, CAST(199 + 17 * (h1 % 800) AS BIGINT) AS price FROM h)"""
+SIGNED = lambda c: f"CAST(CASE WHEN {c} >= 9223372036854775808 THEN CAST({c} AS HUGEINT) - 18446744073709551616 ELSE CAST({c} AS HUGEINT) END AS BIGINT) AS {c}"
+RANDOM = f"{_hashes({c: f'xor(pos, {i})' for i, c in enumerate('abcdef', 1)})}, random AS (SELECT block_id, pos, {', '.join(map(SIGNED, 'abcdef'))} FROM h)"
+MIXED = f"""{_hashes({'h0': 'pos'})}, mixed AS (
+SELECT block_id, pos, {workloads.START_MS} + pos * 1000 AS "time", pos % 20000 AS customer, CAST(h0 % 100000 AS DOUBLE) / 100 AS amount, ['IL', 'US', 'DE', 'JP', 'BR'][pos % 5 + 1] AS country, pos % 11 <> 0 AS success FROM h)"""
 
 
-SIGNED = lambda c: f"CAST(CASE WHEN {c} >= 9223372036854775808 THEN CAST({c} AS HUGEINT) - 18446744073709551616 ELSE CAST({c} AS HUGEINT) END AS BIGINT) AS {c}"
+@_query(f"WITH {TELEMETRY} SELECT * FROM telemetry")
+def workload_telemetry(spark, sf_dir):
+    return workloads.telemetry(spark, ROWS, BLOCK)
 
 
-@_query(f"WITH {_hashes({c: f'xor(pos, {i})' for i, c in enumerate('abcdef', 1)})} SELECT block_id, pos, {', '.join(map(SIGNED, 'abcdef'))} FROM h")
+@_query(f"WITH {RANDOM} SELECT * FROM random")
 def workload_random(spark, sf_dir):
     return workloads.random_i64(spark, ROWS, BLOCK)
 
 
-@_query(f"""
-WITH {_hashes({'h0': 'pos'})}
-SELECT block_id, pos, {workloads.START_MS} + pos * 1000 AS "time", pos % 20000 AS customer, CAST(h0 % 100000 AS DOUBLE) / 100 AS amount, ['IL', 'US', 'DE', 'JP', 'BR'][pos % 5 + 1] AS country, pos % 11 <> 0 AS success FROM h""")
+@_query(f"WITH {MIXED} SELECT * FROM mixed")
 def workload_mixed(spark, sf_dir):
     return workloads.mixed(spark, ROWS, BLOCK)
 
 
-@_query()
+def _bool_part(source: str, table: str, column: str) -> str:
+    """The walk over a block's bit patterns as a jump from each position to the next; 18 rounds of doubling count the jumps."""
+    jumps = ", ".join(
+        f"j{k} AS MATERIALIZED (SELECT a.block_id, a.p, b.nx, a.c + b.c AS c FROM j{k - 1} a JOIN j{k - 1} b ON a.block_id = b.block_id AND a.nx = b.p)" for k in range(1, 19)
+    )
+    return f"""
+WITH {source}, x AS (SELECT block_id, row_number() OVER w - 1 AS p, count(*) OVER (PARTITION BY block_id) AS n, {column} AS b, lead({column}, 3) OVER w AS third, lag({column}) OVER w AS before FROM {table} WINDOW w AS (PARTITION BY block_id ORDER BY pos)),
+y AS (SELECT *, coalesce(min(CASE WHEN third IS NULL OR b <> third THEN p END) OVER (PARTITION BY block_id ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), p) - p AS same FROM x),
+wk AS (SELECT *, CASE WHEN p + 3 <= n THEN least(16, 1 + same // 3) ELSE 0 END AS reps FROM y),
+j0 AS MATERIALIZED (SELECT block_id, p, least(n, p + CASE WHEN reps >= 3 THEN 3 * reps ELSE 7 END) AS nx, CAST(1 AS BIGINT) AS c FROM wk UNION ALL SELECT DISTINCT block_id, n, n, CAST(0 AS BIGINT) FROM wk), {jumps},
+g AS (SELECT block_id, any_value(n) AS n, (any_value(n) + 7) // 8 AS bitmap, CAST(5 + 4 * count(*) FILTER (b <> before) AS BIGINT) AS rle FROM x GROUP BY block_id),
+s AS (SELECT g.*, c AS bca FROM g JOIN j18 ON g.block_id = j18.block_id AND p = 0)
+SELECT '{column}' AS column_name, block_id, n, CASE least(bitmap, rle, bca) WHEN bitmap THEN 'bitmap' WHEN rle THEN 'rle' ELSE 'bca' END AS encoding, 2 + least(bitmap, rle, bca) AS chunk_bytes FROM s"""
+
+
+def _workload_sql() -> str:
+    parts = [("telemetry", "telemetry", TELEMETRY, "time customer product country quantity price".split()), ("random-i64", "random", RANDOM, list("abcdef")), ("mixed-arrow", "mixed", MIXED, ["time", "customer"])]
+    out = [f"SELECT '{name}' AS workload, * FROM ({_int_part(source, table, c)})" for name, table, source, columns in parts for c in columns]
+    out += [f"SELECT 'mixed-arrow' AS workload, * FROM ({part})" for part in (_float_part(MIXED, "mixed", "amount"), _string_part(MIXED, "mixed", "country"), _bool_part(MIXED, "mixed", "success"))]
+    return " UNION ALL ".join(out)
+
+
+@_query(_workload_sql())
 def workload_profile(spark, sf_dir):
     """Sizes of all three workloads, by column and block."""
-    parts = [profile.table_profile(make(spark, 100_000, 50_000)).withColumn("workload", F.lit(name)) for name, make in workloads.WORKLOADS.items()]
+    parts = [profile.table_profile(make(spark, ROWS, BLOCK)).withColumn("workload", F.lit(name)) for name, make in workloads.WORKLOADS.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])

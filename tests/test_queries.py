@@ -47,3 +47,17 @@ def test_crc32c(spark):
 
     for row in entry.queries()["crc32c"](spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id").limit(20).collect():
         assert row["crc"] == crc32c(row["text"].encode())
+
+
+def test_bench_arguments_and_report():
+    import bench
+
+    from blocksmith.plans import measure, workloads
+
+    assert bench.arguments([]) == [1_000_000, 21, 100_000] and bench.arguments(["7", "3"]) == [7, 3, 100_000]
+    for bad in (["0"], ["1", "1", "1", "1"], ["x"]):
+        with pytest.raises((SystemExit, ValueError)):
+            bench.arguments(bad)
+    for threads in (1, 4):
+        report = {x["format"]: x for x in measure.compare(workloads.sequence_table(2000), 500, 2, threads)}
+        assert set(report) == {"blocks", "parquet"} and all(x["encode_mib_s"] > 0 and x["ratio"] < 1 for x in report.values())
