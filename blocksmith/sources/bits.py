@@ -27,15 +27,15 @@ def pack(values: np.ndarray, width: int) -> bytes:
     n = len(values)
     if width % 8 == 0:
         return values.view(np.uint8).reshape(-1, 8)[:, : width // 8].tobytes()
-    if width > 57:
-        return np.packbits(np.unpackbits(values.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, :width], bitorder="little").tobytes()
     groups = (n + 7) // 8
     out = np.zeros((groups, width), np.uint8)
     for k in range(8):
         byte, shift = k * width >> 3, k * width & 7
         words = values[k::8] << np.uint64(shift)
-        used = (width + shift + 7) // 8
+        used = min(8, (width + shift + 7) // 8)
         out[: len(words), byte : byte + used] |= words.view(np.uint8).reshape(-1, 8)[:, :used]
+        if width + shift > 64:
+            out[: len(words), byte + 8] |= (values[k::8] >> np.uint64(64 - shift)).astype(np.uint8)
     return out.tobytes()[: packed_length(n, width)]
 
 
@@ -50,9 +50,10 @@ def unpack(data: bytes, n: int, width: int) -> np.ndarray:
     groups = (n + 7) // 8
     padded = bytes(data) + bytes(groups * width - len(data) + 16)
     out, mask = np.empty(groups * 8, np.uint64), np.uint64((1 << width) - 1)
+    words = np.empty(groups, np.uint64)
     for k in range(8):
         byte, shift = k * width >> 3, k * width & 7
-        words = np.ndarray(groups, "<u8", padded, byte, (width,)) >> np.uint64(shift)
+        np.right_shift(np.ndarray(groups, "<u8", padded, byte, (width,)), np.uint64(shift), out=words)
         if width + shift > 64:
             words |= np.ndarray(groups, np.uint8, padded, byte + 8, (width,)).astype(np.uint64) << np.uint64(64 - shift)
         np.bitwise_and(words, mask, out=out[k::8])
@@ -114,9 +115,10 @@ def integer_decode(tag: int, head: tuple[int, ...], width: int, data: bytes, n:
             raise InvalidMetadata("raw integers have the wrong length")
         return np.frombuffer(data, "<i8")
     if tag == FOR:
-        offsets = unpack(data, n, width)
-        out = (offsets + np.int64(head[0]).view(np.uint64)).view(np.int64)
-        if (out < head[0]).any():
+        out = unpack(data, n, width)
+        out += np.int64(head[0]).view(np.uint64)
+        out = out.view(np.int64)
+        if head[0] + (1 << width) > 2**63 and (out < head[0]).any():
             raise NumberOverflow("an offset leaves 64 bits")
         return out
     if tag == DELTA:
@@ -170,18 +172,19 @@ def bca_encode(bits: np.ndarray, most: int | None = None) -> bytes | None:
     breaks = np.append(np.flatnonzero(~equal), len(equal))
     at = np.arange(len(equal))
     same[: len(equal)] = breaks[np.searchsorted(breaks, at)] - at
-    runs, values, out, i = same.tolist(), bits.tolist(), bytearray(), 0
+    repeats = np.minimum(MOST, 1 + same // PATTERN)
+    repeats[max(n - PATTERN + 1, 0) :] = 0
+    pattern = repeats >= LEAST
+    ahead = np.concatenate([bits.astype(np.uint8), np.zeros(LITERAL, np.uint8)])
+    literal = sum(ahead[k : n + k] << np.uint8(k) for k in range(LITERAL))
+    flagged = sum(ahead[k : n + k] << np.uint8(4 + k) for k in range(PATTERN)) | PATTERN_FLAG | (repeats - 1).astype(np.uint8)
+    after, i, path = (np.arange(n) + np.where(pattern, repeats * PATTERN, LITERAL)).tolist(), 0, []
     while i < n:
-        if most is not None and len(out) >= most:
+        path.append(i)
+        i = after[i]
+        if most is not None and len(path) > most:
             return None
-        repeats = min(MOST, 1 + runs[i] // PATTERN) if i + PATTERN <= n else 0
-        if repeats >= LEAST:
-            out.append(PATTERN_FLAG | sum(values[i + k] << 4 + k for k in range(PATTERN)) | repeats - 1)
-            i += repeats * PATTERN
-        else:
-            out.append(sum(b << k for k, b in enumerate(values[i : i + LITERAL])))
-            i += LITERAL
-    return bytes(out)
+    return np.where(pattern, flagged, literal)[path].astype(np.uint8).tobytes() if n else b""
 
 
 def bca_decode(data: bytes, n: int) -> np.ndarray:
