@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import Workspace
-from .textarrays import slices
+from .textarrays import release, slices
 from .tokens import default_path, encoder
 
 MAGIC, VERSION = b"BSID", 1
@@ -126,6 +126,7 @@ def _encode(path: str, end: int, dictionary: bytes, level: int):
                     [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(np.diff(bounds)), pa.array(widths, pa.int32()), pa.array(frames, pa.binary())],
                     ["id", "tie", "n_tokens", "width", "frame"],
                 )
+        release()
 
     return run
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import Workspace
-from .textarrays import U64, mix, shingle_sets, slices
+from .textarrays import U64, mix, release, shingle_sets, slices
 
 #: log2 of the buckets; bits of a register's mantissa (its leading-zero count has 5).
 P, MANTISSA = 9, 3
@@ -176,6 +176,7 @@ def _sketcher(k: int, bands: int, rows: int):
                     ],
                     ["id", "d1", "d2", "n", "regs", "low", "keys"],
                 )
+        release()
 
     return run
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import Workspace
-from .textarrays import slices
+from .textarrays import release, slices
 from .tokens import default_path, encoder
 
 #: Remainders that are packed together.
@@ -101,6 +101,7 @@ def _cut(path: str, end: int, capacity: int, keep: bool):
                     pa.array(total[row]), pa.array(np.full(len(row), task, np.int32)), pa.array(nth), *([pa.array(parts, pa.binary())] if keep else []),
                 ]
                 yield pa.record_batch(columns, [x.split()[0] for x in PIECES.split(", ")] + ["ids"] * keep)
+        release()
 
     return run
 

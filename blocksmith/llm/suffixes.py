@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import Workspace
-from .textarrays import BYTE, U64, flat, mix, powers, slices
+from .textarrays import BYTE, U64, flat, mix, powers, release, slices
 
 #: Bytes that the first rank compares; the second compares twice as many.
 PREFIX = 64
@@ -119,6 +119,7 @@ def _anchor_rows(length: int, segment: int):
                         out = []
                 if out:
                     yield _anchored(out, batch, a, b)
+        release()
 
     return run
 

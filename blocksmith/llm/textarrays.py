@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -82,6 +83,14 @@ def segments(column: pa.Array, most: int | None = None) -> Iterator[pa.Array]:
         at = stop
 
 
+def release() -> None:
+    """Give freed memory back to the system; a worker that waits for its next task should not hold it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def flat(column: pa.Array, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts (null: empty), each followed by ``end``, and the n + 1 offsets."""
     if isinstance(column, pa.ChunkedArray):

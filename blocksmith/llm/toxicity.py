@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textarrays import U64, segments, slices, word_hashes, words
+from .textarrays import U64, release, segments, slices, word_hashes, words
 
 #: Buckets of hashed words (0: padding), as many again for first bytes, embedding size, filter widths, filters of each width.
 BUCKETS, SIZE, WIDTHS, FILTERS = 1 << 16, 8, (1, 2, 3), 4
@@ -187,6 +187,7 @@ def _passing(model: ToxicityModel, text: int, lang: int):
                 part = batch.slice(a, b - a)
                 limits = np.array([by_language.get(x, threshold) for x in part.column(lang).to_pylist()])
                 yield part.filter(pa.array(_sigmoid(net.logits(*_padded(part.column(text)), tables)) < limits))
+        release()
 
     return run
 

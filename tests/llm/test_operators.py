@@ -137,10 +137,15 @@ def test_links_at_the_threshold_are_found(spark):
     assert len(want) > 200 and want <= {x["component_id"] for x in got}
 
 
-def test_components(spark):
-    links = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (7, 7), (None, 3)]
+@pytest.mark.parametrize("hot", [50_000, 2])
+def test_components(spark, monkeypatch, hot):
+    """A chain, a hub and odd rows; with hot keys salted too."""
+    from blocksmith.llm import components as module
+
+    monkeypatch.setattr(module, "HOT", hot)
+    links = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (7, 7), (None, 3)] + [(500, 501 + i) for i in range(30)] + [(520, 499)]
     got = dict(components(spark.createDataFrame(links, "a long, b long"), Workspace(spark, "test"), "c").collect())
-    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 103: 100}
+    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 103: 100} | {i: 499 for i in range(499, 531)}
 
 
 def test_repeats(docs, rows, nothing, extra):
@@ -457,6 +462,24 @@ def test_toxicity(spark, docs, nothing, extra):
     assert len({x["score"] for x in flat.score(table).collect()}) == 1
 
 
+def test_very_long_texts(spark):
+    """Texts of over two MiB, which are read in segments, through the operators that work word by word."""
+    r = random.Random(12)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(1, 12))) for _ in range(400_000)]
+    long, other = " ".join(words), " ".join(words[:-50])
+    assert len(long) > 2 << 20
+    table = spark.createDataFrame([(1, long, "en"), (2, other, "en"), (3, "a b c d", "en"), (4, long[:1000], None)], "doc_id long, text string, lang string")
+    got = {x["doc_id"]: x for x in minhash.near_duplicates(table, 5, 80).collect()}
+    assert [got[i]["component_id"] for i in (1, 2, 3, 4)] == [1, 1, 3, 4] and got[1]["n_shingles"] == len({tuple(words[i : i + 5]) for i in range(len(words) - 4)})
+    counts = {x["doc_id"]: x for x in wordpieces.token_counts(table).collect()}
+    assert counts[1]["n_words"] == 400_000 and counts[1]["n_tokens"] - counts[2]["n_tokens"] >= 50
+    pieces = packing.pack_documents(table, keep_ids=True).where("doc_id = 1").orderBy("start").collect()
+    known = Encoder(default_path())
+    assert b"".join(bytes(x["ids"]) for x in pieces) == known._direct([long])[0] + b"\1\0\0\0"
+    model = toxicity.ToxicityModel(toxicity.Classifier(np.random.default_rng(1).normal(0, 1, 2 * toxicity.BUCKETS)), 0.5, {})
+    assert len({round(x["score"], 9) for x in model.score(table).where("doc_id < 3").collect()}) <= 2
+
+
 def test_training_sample(spark, monkeypatch):
     """Long texts train too; rows stop once the bound on bytes is reached."""
     seen = []
