@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bits import packed_length, required_bits, unzigzag, zigzag
+from ..functions.bits import difference, packed_length, required_bits, unzigzag, zigzag
 from .blocks import in_block, running, whole_block
 
 #: Encodings in the order that settles ties, with the tag and the header bytes of each.
@@ -19,8 +19,8 @@ def for_encode(df: DataFrame, value: str) -> DataFrame:
     """block_id, pos, minimum, offset (unsigned as wrapped bigint), width."""
     low, high = F.min(value).over(whole_block()), F.max(value).over(whole_block())
     out = df.select("block_id", "pos", F.col(value).alias("v"), low.alias("minimum"), high.alias("high"))
-    width = F.coalesce(required_bits(F.try_subtract("high", "minimum")), F.lit(64))
-    offset = F.coalesce(F.try_subtract("v", "minimum"), (F.col("v").cast("decimal(20,0)") - F.col("minimum") - F.expr("18446744073709551616BD")).cast("long"))
+    width = F.coalesce(required_bits(difference("high", "minimum")), F.lit(64))
+    offset = F.coalesce(difference("v", "minimum"), (F.col("v").cast("decimal(20,0)") - F.col("minimum") - F.expr("18446744073709551616BD")).cast("long"))
     return out.select("block_id", "pos", "minimum", offset.alias("offset"), width.alias("width"))
 
 
@@ -32,7 +32,7 @@ def for_decode(df: DataFrame) -> DataFrame:
 
 def delta_encode(df: DataFrame, value: str) -> DataFrame:
     """block_id, pos, first, z (zigzag of the difference, null in the first row), fits (no difference leaves 64 bits)."""
-    out = df.select("block_id", "pos", F.first(value).over(running()).alias("first"), F.lag("pos").over(in_block()).isNotNull().alias("later"), F.try_subtract(F.col(value), F.lag(value).over(in_block())).alias("d"))
+    out = df.select("block_id", "pos", F.first(value).over(running()).alias("first"), F.lag("pos").over(in_block()).isNotNull().alias("later"), difference(F.col(value), F.lag(value).over(in_block())).alias("d"))
     fits = F.count(F.when(F.col("later") & F.col("d").isNull(), 1)).over(whole_block()) == 0
     return out.select("block_id", "pos", "first", zigzag(F.col("d")).alias("z"), fits.alias("fits"))
 
@@ -46,8 +46,8 @@ def delta_decode(df: DataFrame) -> DataFrame:
 def dod_encode(df: DataFrame, value: str) -> DataFrame:
     """block_id, pos, first, first_delta, z (zigzag of the change of the difference, null in the first two rows), fits."""
     row = F.row_number().over(in_block())
-    out = df.select("block_id", "pos", F.first(value).over(running()).alias("first"), row.alias("row"), F.try_subtract(F.col(value), F.lag(value).over(in_block())).alias("d"))
-    out = out.withColumn("dd", F.try_subtract(F.col("d"), F.lag("d").over(in_block()))).withColumn("first_delta", F.coalesce(F.max(F.when(F.col("row") == 2, F.col("d"))).over(whole_block()), F.lit(0).cast("long")))
+    out = df.select("block_id", "pos", F.first(value).over(running()).alias("first"), row.alias("row"), difference(F.col(value), F.lag(value).over(in_block())).alias("d"))
+    out = out.withColumn("dd", difference(F.col("d"), F.lag("d").over(in_block()))).withColumn("first_delta", F.coalesce(F.max(F.when(F.col("row") == 2, F.col("d"))).over(whole_block()), F.lit(0).cast("long")))
     fits = F.count(F.when((F.col("row") > 1) & F.col("d").isNull() | (F.col("row") > 2) & F.col("dd").isNull(), 1)).over(whole_block()) == 0
     return out.select("block_id", "pos", "first", "first_delta", zigzag(F.col("dd")).alias("z"), fits.alias("fits"))
 
@@ -62,16 +62,16 @@ def dod_decode(df: DataFrame) -> DataFrame:
 
 def integer_profile(df: DataFrame, value: str) -> DataFrame:
     """By block: n, widths and payload bytes of each encoding (null: withdrawn), encoding, payload_bytes, chunk_bytes without validity."""
-    d = F.try_subtract(F.col(value), F.lag(value).over(in_block()))
+    d = difference(F.col(value), F.lag(value).over(in_block()))
     rows = df.select("block_id", "pos", F.col(value).alias("v"), d.alias("d"))
-    rows = rows.withColumn("dd", F.try_subtract(F.col("d"), F.lag("d").over(in_block())))
+    rows = rows.withColumn("dd", difference(F.col("d"), F.lag("d").over(in_block())))
     zero = lambda c: F.coalesce(c, F.lit(0))
     out = rows.groupBy("block_id").agg(
         F.count("*").alias("n"), F.min("v").alias("minimum"), F.max("v").alias("maximum"), F.count("d").alias("nd"), F.count("dd").alias("ndd"),
         zero(F.max(required_bits(zigzag(F.col("d"))))).alias("wd"), zero(F.max(required_bits(zigzag(F.col("dd"))))).alias("wdd"),
     )
     less1, less2 = F.greatest(F.col("n") - 1, F.lit(0)), F.greatest(F.col("n") - 2, F.lit(0))
-    out = out.withColumn("for_width", F.coalesce(required_bits(F.try_subtract("maximum", "minimum")), F.lit(64)))
+    out = out.withColumn("for_width", F.coalesce(required_bits(difference("maximum", "minimum")), F.lit(64)))
     out = out.withColumn("delta_width", F.when(F.col("nd") == less1, F.col("wd"))).withColumn("dod_width", F.when((F.col("nd") == less1) & (F.col("ndd") == less2), F.col("wdd")))
     sizes = payload_sizes(*(F.col(x) for x in ("n", "for_width", "delta_width", "dod_width")))
     out = out.withColumns({f"{k}_bytes": x for k, x in sizes.items()})

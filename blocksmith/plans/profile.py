@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.bits import packed_length, required_bits, zigzag
+from ..functions.bits import difference, packed_length, required_bits, zigzag
 from ..operators.blocks import fill_nulls, in_block
 from ..operators.floats import double_bits, float_bits, half_bits
 from ..operators.integers import payload_sizes, smallest
@@ -73,13 +73,14 @@ def _ordered_profile(df: DataFrame, integers: dict, floats: dict, booleans: list
     """Columns whose encodings depend on neighbours: one shuffle and sort by block, one aggregate for all of them."""
     rows = df.select("block_id", "pos", *[x.alias(f"i{k}") for k, x in enumerate(integers.values())], *[x[0].alias(f"f{k}") for k, x in enumerate(floats.values())], *[F.col(f"`{x}`").alias(f"b{k}") for k, x in enumerate(booleans)])
     ints, flos, boos = ([f"{c}{k}" for k in range(len(x))] for c, x in (("i", integers), ("f", floats), ("b", booleans)))
-    rows = rows.withColumns({f"{c}v": fill_nulls(F.col(c), 0 if c in ints else 0.0) for c in (*ints, *flos)} | {f"{c}v": F.coalesce(F.col(c), F.lit(False)) for c in boos})
+    may_be_null = {f.name for f in rows.schema.fields if f.nullable}
+    rows = rows.withColumns({f"{c}v": fill_nulls(F.col(c), 0 if c in ints else 0.0) if c in may_be_null else F.col(c) for c in (*ints, *flos)} | {f"{c}v": F.coalesce(F.col(c), F.lit(False)) for c in boos})
     rows = rows.withColumns({f"{c}w": bits(f"{c}v") for c, (_, bits, _) in zip(flos, floats.values())})
     rows = rows.withColumns(
-        {f"{c}d": F.try_subtract(f"{c}v", F.lag(f"{c}v").over(in_block())) for c in ints} | {f"{c}x": F.col(f"{c}w").bitwiseXOR(F.lag(f"{c}w").over(in_block())) for c in flos}
+        {f"{c}d": difference(f"{c}v", F.lag(f"{c}v").over(in_block())) for c in ints} | {f"{c}x": F.col(f"{c}w").bitwiseXOR(F.lag(f"{c}w").over(in_block())) for c in flos}
         | {f"{c}t": F.coalesce(F.col(f"{c}v") != F.lag(f"{c}v").over(in_block()), F.lit(False)).cast("int") for c in boos}
     )
-    rows = rows.withColumns({f"{c}dd": F.try_subtract(f"{c}d", F.lag(f"{c}d").over(in_block())) for c in ints})
+    rows = rows.withColumns({f"{c}dd": difference(f"{c}d", F.lag(f"{c}d").over(in_block())) for c in ints})
     aggregates = [F.count("*").alias("n"), *[F.count(c).alias(f"{c}_valid") for c in (*ints, *flos, *boos)]]
     for c in ints:
         widths = [F.max(required_bits(zigzag(F.col(f"{c}{x}")))).alias(f"{c}_{x}") for x in ("d", "dd")]
@@ -96,7 +97,7 @@ def _ordered_profile(df: DataFrame, integers: dict, floats: dict, booleans: list
     for c, name in zip(ints, integers):
         delta = F.when(F.col(f"{c}_nd") == n - 1, zero(F.col(f"{c}_d")))
         dod = F.when((F.col(f"{c}_nd") == n - 1) & (F.col(f"{c}_ndd") == F.greatest(n - 2, F.lit(0))), zero(F.col(f"{c}_dd")))
-        best = smallest(payload_sizes(n, F.coalesce(required_bits(F.try_subtract(f"{c}_high", f"{c}_low")), F.lit(64)), delta, dod))
+        best = smallest(payload_sizes(n, F.coalesce(required_bits(difference(f"{c}_high", f"{c}_low")), F.lit(64)), delta, dod))
         found.append(_row(name, n, best["name"], best["bytes"] + best["head"], F.col(f"{c}_valid")))
     for c, (name, (_, _, width)) in zip(flos, floats.items()):
         packed = packed_length(n - 1, zero(F.col(f"{c}_x"))) + width + 1

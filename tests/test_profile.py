@@ -67,3 +67,12 @@ def test_table_profile_matches_chunks_of_every_type(spark):
             array = pa.array([None if x is None else np.float16(x) for x in part], kind) if c == "h" else pa.array(part, kind)
             assert (got[c, b]["chunk_bytes"], got[c, b]["n"]) == (len(encode_chunk(pa.field(c, kind), array)[1]), len(part)), (c, b)
     assert len(got) == 30
+
+
+def test_differences_at_the_ends_of_64_bits(spark):
+    from blocksmith.functions.bits import difference
+
+    ends = [-(2**63), -(2**63) + 1, -(2**62) - 1, -(2**62), -1, 0, 1, 2**62 - 1, 2**62, 2**62 + 1, 2**63 - 2, 2**63 - 1, None]
+    rows = spark.createDataFrame([(a, b) for a in ends for b in ends], "a long, b long").select("a", "b", difference("a", "b").alias("d"), difference("b", "a").alias("e")).collect()
+    fits = lambda x: x if -(2**63) <= x < 2**63 else None
+    assert all((r["d"], r["e"]) == ((None, None) if None in (r["a"], r["b"]) else (fits(r["a"] - r["b"]), fits(r["b"] - r["a"]))) for r in rows)
