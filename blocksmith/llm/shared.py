@@ -7,12 +7,16 @@ of caching it: the files survive the loss of any executor.
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
+from .textarrays import release
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; a local one only in local mode."""
@@ -42,6 +46,36 @@ def _settings(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+#: Seconds between two calls of ``relieve`` that do something, and part of the JVM's largest heap from which it collects garbage.
+PAUSE, SHARE = 10, 0.5
+_next = [0.0]
+
+
+def relieve(spark: SparkSession, now: bool = False) -> None:
+    """Give memory that the driver has freed back to the system, Python's and the JVM's; takes a twentieth of the time at most.
+
+    A long row of plans leaves the heap larger than what lives in it, and the
+    allocator keeps what compiled code and its compilers have freed.
+    """
+    began = time.monotonic()
+    if began < _next[0] and not now:
+        return
+    release()
+    jvm, new_array = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    heap = jvm.java.lang.Runtime.getRuntime()
+    if heap.totalMemory() > SHARE * heap.maxMemory():
+        jvm.java.lang.System.gc()
+    invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+    args = new_array(jvm.java.lang.Object, 4)
+    args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    try:
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    except Py4JJavaError:  # a JVM without this command
+        pass
+    ended = time.monotonic()
+    _next[0] = ended + max(PAUSE, 20 * (ended - began))
+
+
 class Workspace:
     """Named Parquet tables under a fresh folder of the shared directory.
 
@@ -63,6 +97,7 @@ class Workspace:
         """Write ``df`` and return a scan of what was written."""
         with _settings(self.spark):
             df.write.option("compression", codec).parquet(self.path(name))
+        relieve(self.spark)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:

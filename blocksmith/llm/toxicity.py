@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import relieve
 from .textarrays import U64, release, segments, slices, word_hashes, words
 
 #: Buckets of hashed words (0: padding), as many again for first bytes, embedding size, filter widths, filters of each width.
@@ -216,7 +217,13 @@ def train_toxicity(labelled: DataFrame, text_col: str = "text", label_col: str =
     taken = rows.select("k", "t", F.octet_length("text").alias("bytes")).orderBy("k", "t").limit(most_rows)  # hashes and lengths only
     taken = taken.withColumn("before", F.coalesce(F.sum("bytes").over(order), F.lit(0))).where(F.col("before") < MOST_BYTES).select("k", "t").distinct()
     rows = rows.join(F.broadcast(taken), ["k", "t"], "left_semi").dropDuplicates(["k", "t", "label"]).orderBy("k", "t", "label").select("text", "label", "lang")  # at most ``most_rows`` keys
-    got = rows.mapInArrow(_bucket_rows, "ids binary, label int, lang string").toArrow().combine_chunks()
+    model = _fitted(rows.mapInArrow(_bucket_rows, "ids binary, label int, lang string").toArrow().combine_chunks())
+    relieve(labelled.sparkSession, now=True)
+    return model
+
+
+def _fitted(got: pa.Table) -> ToxicityModel:
+    """The model of rows (ids, label, lang)."""
     texts = [np.frombuffer(x.as_buffer(), np.int32).reshape(-1, 2) for x in got["ids"]]
     labels, langs = np.asarray(got["label"]).astype(np.int64), got["lang"].to_pylist()
     held = np.arange(len(got)) % 5 == 4

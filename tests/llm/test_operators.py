@@ -1,16 +1,19 @@
 """Each operator against brute force on texts with copies, nulls, empty and long texts, ties and clashing columns."""
 
+import gc
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from blocksmith.llm import decontam, idfiles, minhash, packing, preferences, quality, shards, suffixes, toxicity, wordpieces
+from blocksmith.llm import decontam, idfiles, minhash, packing, preferences, quality, shards, shared, suffixes, toxicity, wordpieces
 from blocksmith.llm.components import components
 from blocksmith.llm.shared import Workspace
 from blocksmith.llm.tokens import Encoder, default_path
@@ -592,3 +595,23 @@ def test_preferences(spark):
     assert (got[3]["prompt"], got[3]["chosen"], got[3]["rejected"]) == ("", said("", "x"), "")
     assert got[5]["n_prefix"] == 1 and got[5]["rejected"] == "" and got[5]["chosen"] == said("b", "t")
     assert preferences.format_preferences(table.limit(0)).count() == 0
+
+
+def test_driver_gives_memory_back(spark, monkeypatch):
+    jvm = spark.sparkContext._jvm
+    heap, full = jvm.java.lang.Runtime.getRuntime(), []
+    jvm.java.lang.System.gc()
+    low = heap.totalMemory() - heap.freeMemory()
+    jvm.java.util.ArrayList(jvm.java.util.Collections.nCopies(60_000_000, "x"))  # 240 MB that nothing holds soon
+    gc.collect()
+    monkeypatch.setattr(shared, "SHARE", 0)
+    monkeypatch.setattr(shared, "_next", [0.0])
+    work = Workspace(spark, "relieve")
+    assert work.table("few", spark.range(3)).count() == 3
+    assert heap.totalMemory() - heap.freeMemory() < low + 120_000_000 and shared._next[0] >= time.monotonic() + shared.PAUSE - 5
+    work.close()
+    before, known = pa.total_allocated_bytes(), toxicity.relieve
+    monkeypatch.setattr(toxicity, "relieve", lambda spark, now: (full.append(pa.total_allocated_bytes() - before), known(spark, now=now)))
+    rows = [(i, "en", ("bad " if i % 2 else "good ") * 20_000, i % 2) for i in range(40)]
+    model = toxicity.train_toxicity(spark.createDataFrame(rows, "doc_id long, lang string, text string, toxic int"))
+    assert len(full) == 1 and full[0] < 2_000_000 and model.by_language.keys() == {"en"}  # its training rows have 6.4 MB
